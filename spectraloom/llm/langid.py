@@ -209,7 +209,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """
     model = train(docs.where(fold(F.col("doc_id")) != 0))
     if not model.langs:
-        return docs.where(F.col("text").rlike(r"\\p{L}"))
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     out = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], F.col("text"))
     scored = predict(out, model, carry=[f"__{i}" for i in range(len(docs.columns))])
     return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(

@@ -79,8 +79,8 @@ def train(docs: DataFrame, sample_docs: int = 4_000, seed: int = 11) -> list[int
 
     Labelled samples: about `sample_docs` documents picked by a hash of their text (all, where
     there are fewer; the documented bound of the fit) give the ordinary words, and about five times as
-    many of the rows that a base pattern matches give the random strings. Counts are smoothed by one
-    half over the 66 characters of TOKEN, so a model without samples is flat and reports nothing.
+    many of the rows that a base pattern matches give the random strings. Without samples of a kind its chain is flat;
+    without any, the ratio is 0 throughout and nothing is reported.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(text.alias("text"))
@@ -92,12 +92,15 @@ def train(docs: DataFrame, sample_docs: int = 4_000, seed: int = 11) -> list[int
     strings = F.transform(found, lambda s: F.regexp_extract(s["text"], r"^[A-Za-z0-9+/_=-]+", 0))
     random = rows.where(unit < 5 * share).select(F.lit("random").alias("label"), F.explode(_pairs(strings)).alias("pair"))
     counts = {(r["label"], r["pair"]): r["n"] for r in ordinary.unionAll(random).where(f"pair between 0 and {_SIZE * _SIZE - 1}").groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
-    out = []
-    for a in range(_SIZE):
-        rows_of = {k: [counts.get((k, a * _SIZE + b), 0) for b in range(_SIZE)] for k in ("ordinary", "random")}
-        totals = {k: sum(v) + 33 for k, v in rows_of.items()}
-        out += [round(100 * (math.log((r + 0.5) / totals["random"]) - math.log((o + 0.5) / totals["ordinary"]))) for r, o in zip(rows_of["random"], rows_of["ordinary"], strict=True)]
-    return out
+    logs = {k: _log_chain([[counts.get((k, a * _SIZE + b), 0) for b in range(_SIZE)] for a in range(_SIZE)]) for k in ("random", "ordinary")}
+    return [round(100 * (r - o)) for r, o in zip(logs["random"], logs["ordinary"], strict=True)]
+
+
+def _log_chain(counts: list[list[int]], weight: float = 5.0) -> list[float]:
+    """log p(b | a), row by row: pair counts backed by `weight` draws from the characters' own frequencies."""
+    single = [sum(column) + 0.5 for column in zip(*counts, strict=True)]
+    total = sum(single)
+    return [math.log((n + weight * single[b] / total) / (sum(row) + weight)) for row in counts for b, n in enumerate(row)]
 
 
 def _ratio(token: Column, model: Column) -> Column:
