@@ -3,7 +3,7 @@
 Two bag-of-n-grams models over BUCKETS hash buckets (words and word pairs) are counted: raw over all documents, target
 over labelled documents of quality. A document's log weight is the sum over its n-grams of
 log p_target - log p_raw. Adding Gumbel noise and keeping the k largest samples k documents without replacement
-in proportion to their weights. k follows from the labels: the share of quality among the labelled, of all documents.
+in proportion to their weights. k follows from the labels: it is that share of all documents which has quality among the labelled.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts weigh 0. Rows that repeat a doc_id share their noise. Of rows with
     exactly the last key that fits, those are kept whose doc_id is least. Without labels, nothing is preferred and all rows are kept.
     """
-    known = labels.agg(F.count(F.when(F.col("quality").isNotNull(), 1)).alias("n"), F.count(F.when(F.expr("quality = 1 and coalesce(toxic, 0) = 0"), 1)).alias("good")).first()
+    known = labels.agg(F.count(F.when(F.col("quality").isNotNull(), 1)).alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("good")).first()
     share = known["good"] / known["n"] if known["n"] else 1.0
     rows = materialize(weigh(docs, fit(docs, labels)), "weights")
     n = rows.count()
