@@ -175,14 +175,19 @@ def als_baseline(df: DataFrame, values: str, smooth: float = 1e5, p: float = 0.0
 
 
 def despike(df: DataFrame, values: str, half: int = 3, limit: float = 6.0) -> DataFrame:
-    """Values whose modified z-score against the running median exceeds the limit become that median."""
+    """Values whose modified z-score against the running median exceeds the limit become that median.
+
+    Where the median deviation is 0, the mean deviation stands in for it.
+    """
 
     def f(x: np.ndarray) -> np.ndarray:
         padded = np.pad(x, ((0, 0), (half, half)))
         med = np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1, axis=1), axis=2)
         d = x - med
-        mad = np.median(np.abs(d - np.median(d, axis=1, keepdims=True)), axis=1, keepdims=True)
-        z = 0.6745 * d / np.where(mad == 0, np.inf, mad)
+        off = np.abs(d - np.median(d, axis=1, keepdims=True))
+        mad, mean = np.median(off, axis=1, keepdims=True), off.mean(1, keepdims=True)
+        scale = np.where(mad > 0, mad / 0.6745, 1.2533 * mean)
+        z = d / np.where(scale > 0, scale, np.inf)
         return np.where(np.abs(z) > limit, med, x)
 
     return map_matrix(df, values, f)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from spectraloom.operators.relational import number_of
 
@@ -32,8 +33,9 @@ def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     """A delimited file with header as strings, delimiter and headers worked out."""
     lines = [r[0].lstrip("﻿") for r in spark.read.option("encoding", encoding).text(path).limit(15).collect()]
     sep, _ = sniff(lines)
-    raw = spark.read.csv(path, sep=sep, header=True, encoding=encoding, enforceSchema=False)
-    return raw.toDF(*unique_headers(lines[0].split(sep) if lines else []))
+    names = unique_headers([c.strip('"') for c in lines[0].split(sep)] if lines else [])
+    schema = StructType([StructField(n, StringType()) for n in names])
+    return spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding)
 
 
 def is_axis(name: str) -> bool:
