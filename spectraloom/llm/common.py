@@ -44,12 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a Python worker holds as Python objects at a time.
+SLICE_ROWS = 2_000
+
+
 def map_arrow(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
-    """mapInArrow over dicts of Python lists, one dict a batch; only `columns` are read."""
+    """mapInArrow over dicts of Python lists, one dict for each SLICE_ROWS rows; only `columns` are read."""
     out = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        for cols in rows(b.to_pydict() for b in batches):
+        for cols in rows(b.slice(at, SLICE_ROWS).to_pydict() for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             yield pa.RecordBatch.from_pydict(cols, schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
