@@ -285,8 +285,10 @@ def _mark(ids: np.ndarray, texts: list[bytes], answers: list[bytes]) -> Iterator
     if len(prints):
         own, own_checks, least = _least(prints, checks, owner)
         bad = owner > least[_places(prints, checks, own, own_checks)]
-        for x in answers:
-            bad |= _places(prints, checks, *_unpack_answers(x)) >= 0
+        if answers:  # one search in all of them: their number grows with that of the buckets
+            among, checked = (np.concatenate(x) for x in zip(*map(_unpack_answers, answers), strict=True))
+            order = np.argsort(among, kind="stable")
+            bad |= _places(prints, checks, among[order], checked[order]) >= 0
         edge = np.zeros(cuts[-1] + 1, np.int64)
         np.add.at(edge, at[bad], 1)
         np.add.at(edge, at[bad] + WINDOW, -1)
