@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import hash_texts, map_arrow, materialize, mix, own_id, shared_dir, with_id
+from spectraloom.llm.common import hash_texts, map_arrow, materialize, mix, own_id, shared_dir, shuffles_freed, with_id
 
 WINDOW = 13
 CHUNK_BYTES = 4 << 20
@@ -242,7 +242,8 @@ class FingerprintIndex:
 
     def _save(self, df: DataFrame) -> DataFrame:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.files, "bucket").sortBy("bucket").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        with shuffles_freed(self.spark):
+            df.write.bucketBy(self.files, "bucket").sortBy("bucket").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
     def ingest(self, packed: DataFrame, last: bool = False) -> DataFrame:
