@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.functions import special
 from spectraloom.operators.stats import moments
 
 
@@ -128,3 +130,22 @@ def conformal_radius(residuals: DataFrame, alpha: float = 0.1, value: str = "res
     k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha) - 1e-9)
     both = n.crossJoin(F.broadcast(n.select(F.lit(1).alias("one")))).select("n", k.alias("k"))  # one row
     return both.join(upto, F.col("upto") >= F.col("k"), "left").groupBy("n").agg(F.coalesce(F.min("r"), F.lit(float("inf"))).alias("radius"))
+
+
+def mcnemar(rows: DataFrame, a_right: Column, b_right: Column) -> DataFrame:
+    """One row: the counts where only one of two classifiers is right, and chi-square with continuity correction."""
+    n = rows.agg(F.count_if(a_right & ~b_right).alias("only_a"), F.count_if(b_right & ~a_right).alias("only_b"))
+    return n.withColumn("chi2", F.try_divide((F.abs(F.col("only_a") - F.col("only_b")) - 1.0) ** 2, F.col("only_a") + F.col("only_b")))
+
+
+def mcnemar_p(only_a: int, only_b: int) -> float:
+    """Exact binomial below 25 discordant rows, else the chi-square tail."""
+    n = only_a + only_b
+    if n >= 25:
+        return 1 - special.chi2_cdf((abs(only_a - only_b) - 1) ** 2 / n, 1)
+    return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(only_a, only_b) + 1)) / 2**n)
+
+
+def paired_t(rows: DataFrame, difference: Column) -> DataFrame:
+    """One row: n and Student's t of paired differences; its p-value is special.t_cdf of n - 1 degrees."""
+    return rows.agg(F.count(difference).alias("n"), (F.avg(difference) / (F.stddev_samp(difference) / F.sqrt(F.count(difference)))).alias("t"))

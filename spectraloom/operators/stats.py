@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +49,23 @@ def moments(df: DataFrame, values: str) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, (got["q"].toArray().reshape(len(s), len(s)) - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
+def summed(df: DataFrame, values: str, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of a vector that `part` makes of a batch's rows x variables matrix."""
+
+    def run(batches):
+        import pandas as pd
+
+        total = 0.0
+        for b in batches:
+            if len(b):
+                total = total + part(np.stack([np.asarray(v, np.float64) for v in b[values]]))
+        if np.ndim(total):
+            yield pd.DataFrame({"s": [total.tolist()]})
+
+    parts = df.select(values).where(F.col(values).isNotNull()).mapInPandas(run, "s array<double>")
+    return parts.agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
+
+
 @dataclass
 class PCA:
     """Loadings (p x k, largest entry of each positive), eigenvalues of the k and of all components."""

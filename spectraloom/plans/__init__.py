@@ -1,0 +1,3 @@
+"""The registered queries; importing modelling adds its own to those of registry."""
+
+from spectraloom.plans import modelling, registry  # noqa: F401
