@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.functions import arrays
 from spectraloom.operators.models import Linear
 from spectraloom.operators.signal import map_matrix
 from spectraloom.operators.stats import moments
@@ -155,13 +156,13 @@ def augment(df: DataFrame, key: str, values: str, copies: int = 2, noise: float
     Amounts are shares of a spectrum's own standard deviation (scale: of 1). No shuffle.
     """
     x = F.transform(values, lambda v: v.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(values)
-    sd = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(values))
     draw = lambda what: normal(seed, F.lit(what), F.col(key), F.col("copy"))
-    many = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies)))).withColumns({"_sd": sd, "_by": 1 + scale * draw("scale"), "_up": offset * draw("offset"), "_tilt": slope * draw("slope")})
+    amounts = F.struct(arrays.sd_pop(x).alias("sd"), (1 + scale * draw("scale")).alias("by"), (offset * draw("offset")).alias("up"), (slope * draw("slope")).alias("tilt"))
     place = lambda i: 2 * i / F.greatest(F.size(values) - 1, F.lit(1)) - 1
-    made = F.transform(x, lambda v, i: v * F.col("_by") + F.col("_sd") * (F.col("_up") + F.col("_tilt") * place(i) + noise * normal(seed, F.lit("noise"), F.col(key), F.col("copy"), i)))
-    return many.withColumn(values, F.when(F.col("copy") == 0, x).otherwise(made)).drop("_sd", "_by", "_up", "_tilt")
+    one = lambda a: F.transform(x, lambda v, i: v * a["by"] + a["sd"] * (a["up"] + a["tilt"] * place(i) + noise * normal(seed, F.lit("noise"), F.col(key), F.col("copy"), i)))
+    made = F.get(F.transform(F.array(amounts), one), 0)  # a lambda's argument, so that amounts are worked out once a row
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
+    return many.withColumn(values, F.when(F.col("copy") == 0, x).otherwise(made))
 
 
 # ---- explanation --------------------------------------------------------------------------
