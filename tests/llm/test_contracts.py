@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,3 +430,27 @@ def test_empty_tables(spark, sf_dir):
     assert secrets.report(empty).count() == 0 and secrets.redact(empty).count() == 0
     assert resample.select(empty, labels).count() == 0
     assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
+
+
+def test_forest_reaches_past_nearest_rows(spark):
+    """2,500 classes share one region of the first tree; twins whose rows lie far apart in it are found by the wide pass alone."""
+    rng, n = np.random.default_rng(3), 2500
+    sig = rng.integers(0, 1 << 32, (n, neardup.TREES * neardup.DEPTH), dtype=np.uint64)
+    sig[:, : neardup.MIN_DEPTH] = 7
+    sig[:, neardup.MIN_DEPTH] = np.arange(n) << 8
+    twins = {(i, n - 1 - i) for i in range(0, 1000, 50)}
+    for a, b in twins:
+        at = slice(neardup.DEPTH, None)
+        sig[b, at] = sig[a, at] ^ np.uint64(1 << 20)  # other trees' orders and regions differ, the sketch does not
+    rows = [(i, 100, i, sig[i].astype(">u4").tobytes()) for i in range(n)]
+    classes = spark.createDataFrame(rows, "id long, n long, component long, sig binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        near = {(r["a"], r["b"]) for r in neardup.candidates(classes, neardup.NEIGHBOURS).collect()}
+        wide = {(r["a"], r["b"]) for r in neardup.candidates(classes, neardup.WIDE).collect()}
+        joined = classes.withColumn("component", F.least("id", n - 1 - F.col("id")))
+        left = {(r["a"], r["b"]) for r in neardup.candidates(joined, neardup.WIDE).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert not near & twins and twins <= wide and left == wide - {(a, b) for a, b in wide if a + b == n - 1}
