@@ -33,28 +33,31 @@ class Linear:
         return map_matrix(df.withColumn(into, F.transform(values, lambda x: x.cast("double"))), into, lambda x: (x - self.mean) @ self.coef + self.intercept)
 
 
-def pls(df: DataFrame, values: str, targets: list[str], k: int) -> Linear:
-    """Partial least squares from second moments (kernel form): X'X and X'Y are aggregates, the rest is p x p on the driver."""
-    both = df.select(F.concat(F.transform(values, lambda x: x.cast("double")), F.array(*[F.col(t).cast("double") for t in targets])).alias("v"))
-    n, mean, cov = moments(both, "v")
-    p = len(mean) - len(targets)
-    xx, xy = cov[:p, :p].copy(), cov[:p, p:].copy()
+def pls_kernel(xx: np.ndarray, xy: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations (p x components) and coefficients (p x targets) of partial least squares from X'X and X'Y."""
     weights, loads, answers = [], [], []
-    rotated: list[np.ndarray] = []
     for _ in range(k):
         u = np.linalg.svd(xy, full_matrices=False)[0][:, 0]
-        r = u - sum((load @ u) * rot for load, rot in zip(loads, rotated, strict=True)) if loads else u
+        r = u - sum((load @ u) * rot for load, rot in zip(loads, weights, strict=True)) if loads else u
         tt = r @ xx @ r
         if tt < 1e-14:
             break
         load, answer = xx @ r / tt, xy.T @ r / tt
         xy = xy - np.outer(load, answer) * tt
-        weights.append(u)
         loads.append(load)
-        rotated.append(r)
+        weights.append(r)
         answers.append(answer)
-    coef = np.array(rotated).T @ np.array(answers) if rotated else np.zeros((p, len(targets)))
-    return Linear(mean[:p], coef, mean[p:])
+    if not weights:
+        return np.zeros((len(xx), 0)), np.zeros(xy.shape)
+    return np.array(weights).T, np.array(weights).T @ np.array(answers)
+
+
+def pls(df: DataFrame, values: str, targets: list[str], k: int) -> Linear:
+    """Partial least squares from second moments (kernel form): X'X and X'Y are aggregates, the rest is p x p on the driver."""
+    both = df.select(F.concat(F.transform(values, lambda x: x.cast("double")), F.array(*[F.col(t).cast("double") for t in targets])).alias("v"))
+    _, mean, cov = moments(both, "v")
+    p = len(mean) - len(targets)
+    return Linear(mean[:p], pls_kernel(cov[:p, :p], cov[:p, p:], k)[1], mean[p:])
 
 
 def lda(df: DataFrame, values: str, label: str, ridge: float = 1e-8) -> tuple[list, Linear]:

@@ -1,3 +1,3 @@
-"""The registered queries; importing modelling adds its own to those of registry."""
+"""The registered queries; importing modelling and validation adds their own to those of registry."""
 
-from spectraloom.plans import modelling, registry  # noqa: F401
+from spectraloom.plans import modelling, registry, validation  # noqa: F401
