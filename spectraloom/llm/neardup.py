@@ -11,15 +11,15 @@
    candidates below the similarity asked for.
 4. Candidates are confirmed on full sets, recomputed from the texts of the classes concerned. A first pass takes the NEIGHBOURS
    nearest rows: first the best candidate of each class, then those that still lie between two components.
-   A second pass over the same orders takes all rows up to WIDE back, as far as the region goes, that lie in
-   another component, so those that the nearest rows crowd out are looked at too; of each two components that
-   meet in a batch of rows, the BEST pairs by sketch go on. They are confirmed in rounds, the closest pairs of each
-   two components first, since one link joins these.
+   A second pass looks at all pairs of a region (same tree, same MIN_DEPTH minima) that lie in different components. A
+   region's rows are dealt into blocks of about CELL, and two blocks that may hold such a pair make a cell: its largest component's
+   blocks with those of all other rows, and the latter among themselves. So no region is too large for a task, and no pair
+   depends on how rows are sorted or partitioned. A cell confirms the pairs its sketches let through, the closest first,
+   and leaves out only what its confirmed links have joined already: it hands on links, not pairs.
    Confirmed links join the components, by alternating large-star and small-star steps on edge tables.
 
 A pair at similarity 0.8 shares MIN_DEPTH = 3 minima in none of the 16 trees with probability
-(1 - 0.8**3)**16 = 1e-5. In a region of more than WIDE rows a pair is also out of reach where more than WIDE
-rows of the region lie between; the trees sort differently, and such a pair is lost only if that holds in all.
+(1 - 0.8**3)**16 = 1e-5. All other pairs of different components are compared, in the first tree whose region they share.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm.common import blocks, hash_texts, map_arrow, materialize, mix, own_id, with_id
 
-TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, WIDE, BEST = 16, 8, 3, 3, 4096, 4
+TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 8, 3, 3
+#: Rows of a block of a large region; rows of whole cells that a task takes up at a time.
+CELL, WIDE = 512, 4096
 #: Of 128 sketch bits, those that may differ. Half of 1 - J differ on average: 13 at J = 0.8, with deviation 3.4.
 MAX_DIFFERENT = 32
 _A = np.random.default_rng(5).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,20 +101,10 @@ def _tree_rows(classes: DataFrame) -> DataFrame:
     return map_arrow(classes, ["id", "n", "component", "sig"], "tree int, prefix binary, sketch binary, id long, n long, component long", rows)
 
 
-def _closest(found: np.ndarray) -> np.ndarray:
-    """Of columns (component, component, differ, a, b), the BEST by differ of each two components."""
-    found = found[:, np.lexsort(found[::-1])]
-    new = np.ones(found.shape[1], bool)
-    new[1:] = (found[:2, 1:] != found[:2, :-1]).any(0)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return found[:, np.arange(len(new)) - first < BEST]
-
-
 def candidates(classes: DataFrame, reach: int, percent: int = 80, min_depth: int = MIN_DEPTH) -> DataFrame:
     """(a, b, differ): pairs of class ids, a < b, of different components and at most `reach` rows apart in some tree's order.
 
-    classes: id, n (set size), component, sig. Of each two components, a batch of rows yields the BEST closest pairs
-    (all pairs where each class is its own component). A task holds `reach` rows and a batch at a time.
+    classes: id, n (set size), component, sig. A task holds `reach` rows and a batch at a time.
     """
     forest = _tree_rows(classes)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -138,7 +130,7 @@ def candidates(classes: DataFrame, reach: int, percent: int = 80, min_depth: int
             at = np.flatnonzero(np.repeat(mixed, lengths))
             run = np.repeat(np.arange(len(starts)), lengths)[at]
             _, sketch, ids, n, component, new = (x[at] for x in now)
-            found = np.zeros((5, 0), np.int64)
+            found = []
             for lag in range(1, min(reach, len(ids) - 1) + 1):
                 same = run[lag:] == run[:-lag]
                 if not same.any():
@@ -149,10 +141,8 @@ def candidates(classes: DataFrame, reach: int, percent: int = 80, min_depth: int
                 differ = np.bitwise_count(sketch[i] ^ sketch[i + lag]).sum(1, dtype=np.int64)
                 i, differ = i[differ <= MAX_DIFFERENT], differ[differ <= MAX_DIFFERENT]
                 j = i + lag
-                found = np.concatenate([found, [np.minimum(component[i], component[j]), np.maximum(component[i], component[j]), differ, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]], axis=1)
-                if found.shape[1] > 100_000:
-                    found = _closest(found)
-            _, _, differ, a, b = _closest(found)
+                found.append([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), differ])
+            a, b, differ = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
             yield {"a": a, "b": b, "differ": differ}
 
     pairs = map_arrow(forest, forest.columns, "a long, b long, differ long", rows)
@@ -272,23 +262,124 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(components(joined.unionAll(comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))), "components")
 
 
-def _closed(docs: DataFrame, pairs: DataFrame, comps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Components after all written pairs (a, b, differ) that matter are confirmed.
+def _placed(classes: DataFrame) -> DataFrame:
+    """(id, n, component, sketch, regions) of classes; regions: a 64-bit hash of each tree's number and first MIN_DEPTH minima."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for cols in batches:
+            sig = np.frombuffer(b"".join(cols["sig"]), ">u4").reshape(-1, TREES, DEPTH)
+            keys = np.broadcast_to(mix(np.arange(TREES, dtype=np.uint64)), sig.shape[:2])
+            for k in range(MIN_DEPTH):
+                keys = mix(keys * _Q + sig[:, :, k].astype(np.uint64))
+            sketch = np.packbits((sig & 1).astype(np.uint8).reshape(-1, TREES * DEPTH), axis=1)
+            yield {"id": cols["id"], "n": cols["n"], "component": cols["component"], "sketch": [s.tobytes() for s in sketch], "regions": keys.view(np.int64).tolist()}
+
+    return map_arrow(classes, ["id", "n", "component", "sig"], "id long, n long, component long, sketch binary, regions array<long>", rows)
+
 
-    A round confirms some of the closest pairs of each two components, 16 times as many as the round before. What a link
-    puts into one component needs no more confirming; all other pairs have their turn, so none is dropped.
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(cell, every, side, tree, id): the cells in which written rows of _placed meet those of other components.
+
+    every: all pairs of the cell count, else those of different sides.
     """
-    some = BEST
-    while True:
-        between = _named(pairs, comps).where("ca <> cb")
-        slot = F.pmod(F.xxhash64("a", "b"), F.lit(some))
-        first = between.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), slot.alias("slot")).agg(F.min(F.struct("differ", "a", "b")).alias("p"))
-        step = materialize(first.select("p.a", "p.b"), "pairs")
-        if step.isEmpty():
-            return comps
-        left = materialize(between.select("a", "b", "differ").join(step, ["a", "b"], "left_anti"), "pairs")
-        comps = _joined(comps, materialize(_confirm(step, _written_sets(docs, step, size), percent), "links"))
-        pairs, some = left, 16 * some
+    members = placed.select("id", "component", F.posexplode("regions").alias("tree", "region"))
+    mixed = members.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
+    members = materialize(members.join(mixed.hint("merge"), "region", "left_semi"), "members")
+    sizes = members.groupBy("region", "component").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("region").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"))
+    blocks_of = lambda c: F.ceil(c / F.lit(CELL)).cast("int")
+    sizes = sizes.select("region", F.col("main.component").alias("main"), blocks_of(F.col("main.c")).alias("mains"), blocks_of(F.col("c") - F.col("main.c")).alias("others"))
+    own = F.col("component") == F.col("main")
+    rows = members.join(sizes.hint("merge"), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.when(own, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    block, upto = F.col("block"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j, every, side: F.struct(F.xxhash64("region", F.lit(kind), i, j).alias("cell"), every.alias("every"), side.alias("side"))
+    no, yes = F.lit(False), F.lit(True)
+    cells = (
+        F.when((F.col("mains") == 1) & (F.col("others") == 1), F.array(cell(0, block, block, yes, no)))
+        .when(own, F.transform(upto("others"), lambda j: cell(1, block, j, no, no)))
+        .otherwise(F.concat(F.transform(upto("mains"), lambda i: cell(1, i, block, no, yes)), F.transform(upto("others"), lambda j: cell(2, F.least(block, j), F.greatest(block, j), block == j, block > j))))
+    )
+    return rows.select("tree", "id", F.explode(cells).alias("c")).select("c.*", "tree", "id")
+
+
+def _by_cell(batches: Iterator[dict]) -> Iterator[dict]:
+    """Columns of rows sorted by cell, whole cells at a time."""
+    held: dict[str, list] = {}
+    for cols in batches:
+        held = {c: held.get(c, []) + cols[c] for c in cols}
+        cells = held["cell"]
+        if len(cells) >= WIDE and (cut := cells.index(cells[-1])):
+            yield {c: held[c][:cut] for c in held}
+            held = {c: held[c][cut:] for c in held}
+    if held and held["cell"]:
+        yield held
+
+
+def _pairs(cols: dict, percent: int) -> np.ndarray:
+    """(i, j, differ): pairs of places in a cell that lie in different components, may be similar, and share no region of an earlier tree."""
+    cell, every, side, tree, n, component = (np.array(cols[c], np.int64) for c in ("cell", "every", "side", "tree", "n", "component"))
+    regions = np.array(cols["regions"], np.int64)
+    sketch = np.frombuffer(b"".join(cols["sketch"]), np.uint64).reshape(-1, 2)
+    found = []
+    for lag in range(1, len(cell)):
+        i = np.flatnonzero(cell[lag:] == cell[:-lag])
+        if not len(i):
+            break
+        i = i[(component[i] != component[i + lag]) & ((every[i] > 0) | (side[i] != side[i + lag]))]
+        i = i[100 * np.minimum(n[i], n[i + lag]) >= percent * np.maximum(n[i], n[i + lag])]
+        differ = np.bitwise_count(sketch[i] ^ sketch[i + lag]).sum(1, dtype=np.int64)
+        i, differ = i[differ <= MAX_DIFFERENT], differ[differ <= MAX_DIFFERENT]
+        first = ~((regions[i] == regions[i + lag]) & (np.arange(TREES) < tree[i, None])).any(1)
+        found.append([i[first], i[first] + lag, differ[first]])
+    return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+
+
+def meetings(placed: DataFrame, percent: int = 80) -> DataFrame:
+    """(cell, every, side, tree, id, n, component, sketch, regions): rows of written _placed with a partner in a cell to be confirmed on full sets."""
+    rows_of = _dealt(placed).join(placed.hint("merge"), "id").repartition("cell").sortWithinPartitions("cell")
+    columns = ["cell", "every", "side", "tree", "id", "n", "component", "sketch", "regions"]
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for cols in _by_cell(batches):
+            some = np.unique(_pairs(cols, percent)[:2]).tolist()
+            yield {c: [cols[c][k] for k in some] for c in columns}
+
+    return map_arrow(rows_of, columns, "cell long, every boolean, side boolean, tree int, id long, n long, component long, sketch binary, regions array<long>", rows)
+
+
+def _met(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join all components of written _placed that have a link in some region."""
+    met = materialize(meetings(placed, percent), "cells")
+    sets = materialize(_sets(docs, met.select("id").distinct(), size).dropDuplicates(["id"]), "sets")
+    both = met.join(sets.hint("merge"), "id").repartition("cell").sortWithinPartitions("cell")
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for cols in _by_cell(batches):
+            if len(parent) > 500_000:  # memory stays bounded, whatever the partition's size
+                parent.clear()
+            found = _pairs(cols, percent)
+            values = [np.frombuffer(v, np.uint64) for v in cols["values"]]
+            a, b = [], []
+            for i, j in found[:2, np.argsort(found[2], kind="stable")].T.tolist():
+                x, y = root(cols["component"][i]), root(cols["component"][j])
+                if x == y:
+                    continue
+                p, q = values[i], values[j]
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * common >= percent * (len(p) + len(q) - common):
+                    parent[max(x, y)] = min(x, y)
+                    a.append(cols["id"][i])
+                    b.append(cols["id"][j])
+            yield {"a": a, "b": b}
+
+    return map_arrow(both, [*met.columns, "values"], "a long, b long", rows)
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -307,8 +398,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rest = _named(pairs.join(best, ["a", "b"], "left_anti"), comps).where("ca <> cb")
     comps = _joined(comps, materialize(_confirm(rest, sets, percent), "links"))
     placed = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    wide = materialize(candidates(placed, WIDE, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    comps = _closed(docs, wide, comps, size, percent)
+    comps = _joined(comps, materialize(_met(docs, materialize(_placed(placed), "placed"), size, percent), "links"))
     named = classes.select("key", "id").join(comps, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     named = materialize(named, "named")
     out = signed.select("doc_id", "n", "key").join(named, "key", "left")

@@ -454,3 +454,14 @@ def test_forest_reaches_past_nearest_rows(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert not near & twins and twins <= wide and left == wide - {(a, b) for a, b in wide if a + b == n - 1}
+
+
+def test_op5_one_link_among_many_near_misses(spark):
+    """Two groups of 300 whose 90,000 pairs are at 160 / 206 or 160 / 201, but for one at 160 / 196; two more groups without that one."""
+    rows, n = [], 300
+    for group in range(4):
+        for k in range(n):
+            own = [] if k == 77 and group < 2 else [f"u{group}x{k}x{i}" for i in range(5)]
+            rows.append((group * n + k, " ".join([f"c{group // 2}x{i}" for i in range(160)] + [f"s{group}x{i}" for i in range(18)] + own)))
+    linked = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), size=1)
+    assert Counter(r["component_id"] for r in linked.collect()) == {0: 2 * n, 2 * n: n, 3 * n: n}
