@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +32,10 @@ def cusum(rows: DataFrame, *keys: str, slack: float = 0.5) -> DataFrame:
 def ewma(rows: DataFrame, value: str, *keys: str, weight: float = 0.2, width: float = 3.0) -> DataFrame:
     """Adds ewma, lower and upper: z_i = weight * v_i + (1 - weight) * z_(i-1) from mu, limits by the exact variance.
 
-    The values up to a row are folded in order; a frame of the last 400 rows is exact to
-    0.8**400 = 1e-39 for the default weight and bounds what a row gathers.
+    The values up to a row are folded in order, as far back as they count for more than 1e-18, below a double's
+    precision: 186 rows for the default weight, 4,124 for 0.01.
     """
-    back = 400
+    back = math.ceil(math.log(1e-18) / math.log1p(-weight)) if weight < 1 else 1
     near = F.collect_list(value).over(_ordered(*keys).rowsBetween(1 - back, 0))
     fold = F.aggregate(near, F.col("mu"), lambda z, v: weight * v + (1 - weight) * z)
     spread = width * F.col("sd") * F.sqrt(F.lit(weight / (2 - weight)) * (1 - F.pow(F.lit(1 - weight), 2 * F.col("n"))))
