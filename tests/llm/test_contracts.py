@@ -465,3 +465,25 @@ def test_op5_one_link_among_many_near_misses(spark):
             rows.append((group * n + k, " ".join([f"c{group // 2}x{i}" for i in range(160)] + [f"s{group}x{i}" for i in range(18)] + own)))
     linked = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), size=1)
     assert Counter(r["component_id"] for r in linked.collect()) == {0: 2 * n, 2 * n: n, 3 * n: n}
+
+
+def test_op5_all_pairs_of_a_large_region_meet(spark):
+    """6,000 classes share one region of the first tree, dealt over several partitions; twins may lie anywhere in its order."""
+    rng, n = np.random.default_rng(4), 6000
+    sig = rng.integers(0, 1 << 32, (n, neardup.TREES * neardup.DEPTH), dtype=np.uint64)
+    sig[:, : neardup.MIN_DEPTH] = 7
+    sig[:, neardup.MIN_DEPTH] = np.arange(n) << 8
+    twins = {(i, n - 1 - i) for i in range(0, 3000, 25)}
+    for a, b in twins:
+        at = slice(neardup.DEPTH, None)
+        sig[b, at] = sig[a, at] ^ np.uint64(1 << 20)  # other trees' orders and regions differ, the sketch does not
+    main = set(range(0, 3000, 5))  # the region's largest component holds one of each two twins
+    rows = [(i, 100, 0 if i in main else i, sig[i].astype(">u4").tobytes()) for i in range(n)]
+    classes = spark.createDataFrame(rows, "id long, n long, component long, sig binary").repartition(7)
+    for own in (True, False):
+        placed = neardup.materialize(neardup._placed(classes if own else classes.withColumn("component", F.col("id"))), "placed")
+        cells = {}
+        for r in neardup.meetings(placed).collect():
+            cells.setdefault(r["cell"], set()).add(r["id"])
+        met = {(a, b) for a, b in twins if any(a in c and b in c for c in cells.values())}
+        assert met == twins
