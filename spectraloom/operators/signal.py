@@ -71,10 +71,10 @@ def block_norm(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.countDistinct(key).alias("n"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("frobenius")).withColumn("scale", F.col("frobenius") / F.sqrt("n"))
 
 
-def block_mean(rows: DataFrame, spatial: int, spectral: int, height: int, width: int, bands: int) -> DataFrame:
-    """Cube reduction: means of spatial x spatial x spectral blocks; what does not fill a block is dropped."""
+def block_mean(rows: DataFrame, spatial: int, spectral: int, height: int, width: int, bands: int, *keys: str) -> DataFrame:
+    """Cube reduction: by keys, means of spatial x spatial x spectral blocks; what does not fill a block is dropped."""
     inside = rows.where((F.col("row") < height // spatial * spatial) & (F.col("col") < width // spatial * spatial) & (F.col("var_idx") < bands // spectral * spectral))
-    return inside.groupBy(F.floor(F.col("row") / spatial).alias("row"), F.floor(F.col("col") / spatial).alias("col"), F.floor(F.col("var_idx") / spectral).alias("var_idx")).agg(F.avg("x").alias("x"))
+    return inside.groupBy(*keys, F.floor(F.col("row") / spatial).alias("row"), F.floor(F.col("col") / spatial).alias("col"), F.floor(F.col("var_idx") / spectral).alias("var_idx")).agg(F.avg("x").alias("x"))
 
 
 def window_of(index: Column, n_vars: int, n_windows: int, rule: str = "linspace") -> Column:

@@ -132,6 +132,14 @@ def f26_cube_blocks(spark, d):
     return rounded(signal.block_mean(rows, 3, 7, 25, 20, 64), "x")
 
 
+@query("WITH {LONG}, c AS (SELECT vec_id // 500 AS cube, vec_id % 500 // 20 AS row, vec_id % 20 AS col, var_idx, x FROM long) SELECT CAST(cube AS BIGINT) AS cube, CAST(row // 3 AS BIGINT) AS row, CAST(col // 3 AS BIGINT) AS col, CAST(var_idx // 7 AS BIGINT) AS var_idx, round(avg(x), 6) AS x FROM c WHERE row < 24 AND col < 18 AND var_idx < 63 GROUP BY 1, 2, 3, 4")
+def f26_cube_blocks_all(spark, d):
+    """All spectra as cubes of 25 x 20 pixels (the last one may have fewer); f26_cube_blocks reduces the first, as its SQL does."""
+    at = F.col("vec_id")
+    rows = long(spark, d).withColumns({"cube": F.floor(at / 500), "row": F.floor(at % 500 / 20), "col": at % 20})
+    return rounded(signal.block_mean(rows, 3, 7, 25, 20, 64, "cube"), "x")
+
+
 @query("WITH {LONG} SELECT vec_id, CAST(((var_idx + 1) * 10 - 1) // 64 AS BIGINT) AS win, round(avg(x), 6) AS x FROM long GROUP BY 1, 2")
 def f30_window_means(spark, d):
     rows = long(spark, d).withColumn("win", signal.window_of(F.col("var_idx"), 64, 10))

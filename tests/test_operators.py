@@ -164,3 +164,13 @@ def test_readers(spark, tmp_path):
     assert axis == [1100.0, 1200.5] and [(r["id"], r["batch"], r["spectrum"]) for r in df.collect()] == [("A", "x", [2.0, 1.5]), ("B", "y", [4.25, None])]
     assert readers.wide(df, "spectrum", axis).columns == ["id", "batch", "1100", "1200.5"]
     assert readers.unique_headers(["a", "", "a", None]) == ["a", "Unnamed: 1", "a.1", "Unnamed: 3"]
+
+
+def test_cube_query_reduces_all_cubes(spark):
+    from spectraloom.plans import registry
+
+    d = "/root/testdata/sf0.1"
+    got = {(r["cube"], r["row"], r["col"], r["var_idx"]): r["x"] for r in registry.f26_cube_blocks_all(spark, d).collect()}
+    x = np.array([r["embedding"] for r in registry.table(spark, d, "embeddings").orderBy("vec_id").collect()], float)
+    means = x.reshape(4, 25, 20, 64)[:, :24, :18, :63].reshape(4, 8, 3, 6, 3, 9, 7).mean((2, 4, 6))
+    assert got == pytest.approx(dict(np.ndenumerate(means)), abs=2e-6)
