@@ -366,6 +366,12 @@ def w1_ewma(spark, d):
     return rounded(charts.ewma(_series(spark, d), "value", "event_type").where("n <= 300").select("event_type", "event_id", "ewma", "upper"), "ewma", "upper")
 
 
+@query()
+def w1_ewma_all(spark, d):
+    """Every row of every series; w1_ewma returns the first 300, as its SQL does."""
+    return rounded(charts.ewma(_series(spark, d), "value", "event_type").select("event_type", "event_id", "ewma", "upper"), "ewma", "upper")
+
+
 @query("WITH {LONG} SELECT vec_id, var_idx, round((coalesce(lag(x) OVER w, x) + x + coalesce(lead(x) OVER w, x)) / 3, 6) AS smooth FROM long WINDOW w AS (PARTITION BY vec_id ORDER BY var_idx)")
 def w7_smooth3(spark, d):
     return rounded(signal.smooth3(long(spark, d), "vec_id").select("vec_id", "var_idx", "smooth"), "smooth")

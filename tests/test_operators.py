@@ -166,6 +166,32 @@ def test_readers(spark, tmp_path):
     assert readers.unique_headers(["a", "", "a", None]) == ["a", "Unnamed: 1", "a.1", "Unnamed: 3"]
 
 
+def test_ewma_of_small_weights_and_long_series(spark):
+    values = [0.1 * (k % 7) + k / 500 for k in range(1500)]
+    rows = charts.baseline(spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "series string, at long, value double"), "value", ["at"], 20, "series")
+    for weight in (0.01, 0.2, 1.0):
+        z, want = float(np.mean(values[:20])), []
+        for v in values:
+            z = weight * v + (1 - weight) * z
+            want.append(z)
+        got = [r["ewma"] for r in charts.ewma(rows, "value", "series", weight=weight).orderBy("at").collect()]
+        assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_ewma_query_returns_all_rows(spark):
+    from spectraloom.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    got = {(r["event_type"], r["event_id"]): r["ewma"] for r in registry.w1_ewma_all(spark, d).collect()}
+    events = registry.table(spark, d, "events").orderBy("event_type", "ts", "event_id").toPandas()
+    want = {}
+    for name, g in events.groupby("event_type"):
+        z = g["value"][:20].mean()
+        for i, v in zip(g["event_id"], g["value"], strict=True):
+            want[name, i] = z = 0.2 * v + 0.8 * z
+    assert len(got) == len(events) and got == pytest.approx(want, abs=2e-6)
+
+
 def test_cube_query_reduces_all_cubes(spark):
     from spectraloom.plans import registry
 
