@@ -25,11 +25,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir; only a local session may do without, by a temporary one."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="spectraloom-")
     return f"file://{_own_dir}"
 
@@ -54,7 +56,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for tables that nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

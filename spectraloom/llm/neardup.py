@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import blocks, hash_texts, map_arrow, materialize, mix, own_id, with_id
+from spectraloom.llm.common import NO_ID, blocks, discard, hash_texts, map_arrow, materialize, mix, own_id, with_id
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 8, 3, 3
 #: Rows of a block of a large region; rows of whole cells that a task takes up at a time.
@@ -67,17 +67,32 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
+    """A row each row of docs: doc_id, n (set size), key of the set, sig, and digest, an MD5 of the text that tells rows with one doc_id apart."""
+
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
-            out: dict[str, list] = {"doc_id": cols["doc_id"], "n": [], "key": [], "sig": []}
+            out: dict[str, list] = {"doc_id": cols["doc_id"], "digest": cols["digest"], "n": [], "key": [], "sig": []}
             for values in shingle_sets(cols["text"], size):
                 some = len(values) > 0
                 out["n"].append(len(values))
-                out["key"].append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if some else None)
+                out["key"].append(_key(values) if some else None)
                 out["sig"].append(signature(values).tobytes() if some else None)
             yield out
 
-    return map_arrow(with_id(docs), ["doc_id", "text"], "doc_id long, n long, key binary, sig binary", rows)
+    return map_arrow(with_id(docs).withColumn("digest", F.md5("text")), ["doc_id", "text", "digest"], "doc_id long, digest string, n long, key binary, sig binary", rows)
+
+
+def _key(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """Written (id, key, doc_id, n, sig): a row each different set, with an id of its own and the least doc_id that has it.
+
+    A doc_id may repeat with other texts, so it can't name a class. The ids are unique numbers, fixed by the write.
+    """
+    found = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return materialize(found.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 def _tree_rows(classes: DataFrame) -> DataFrame:
@@ -149,17 +164,19 @@ def candidates(classes: DataFrame, reach: int, percent: int = 80, min_depth: int
     return pairs.groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, values): full shingle sets, as bytes, of the documents named by ids (one row each)."""
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Written (id, values): full shingle sets, as bytes, of the wanted rows of _classes; one row each."""
     # a merge join at every size: the ids grow with the input, so they are not to be broadcast
-    wanted = with_id(docs).join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+    texts = with_id(docs).join(wanted.select("id", "key", "doc_id").hint("merge"), "doc_id")
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
-            for at in range(0, len(cols["doc_id"]), 256):
-                yield {"id": cols["doc_id"][at : at + 256], "values": [v.tobytes() for v in shingle_sets(cols["text"][at : at + 256], size)]}
+            for at in range(0, len(cols["id"]), 256):
+                values = list(shingle_sets(cols["text"][at : at + 256], size))
+                own = [i for i, (v, key) in enumerate(zip(values, cols["key"][at : at + 256], strict=True)) if _key(v) == key]  # a doc_id may repeat with other texts
+                yield {"id": [cols["id"][at + i] for i in own], "values": [values[i].tobytes() for i in own]}
 
-    return map_arrow(wanted, ["doc_id", "text"], "id long, values binary", rows)
+    return materialize(map_arrow(texts, ["id", "key", "text"], "id long, values binary", rows).dropDuplicates(["id"]), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,12 +199,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, ["a", "b", "va", "vb"], "a long, b long", rows)
 
 
-def _written_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The sets of all ids in written pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return materialize(_sets(docs, ids, size).dropDuplicates(["id"]), "sets")
-
-
 def _local_stars(edges: DataFrame) -> DataFrame:
     """Replace each partition's edges by stars around the least id of each part: same components, fewer and shorter paths."""
 
@@ -234,10 +245,12 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour v of u moves to u's least neighbour
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").where("a < b")
         large = materialize(_local_stars(large).distinct(), "edges")
+        discard(edges, least)
         # small star: u and its smaller neighbours meet in the least of them
         low = materialize(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
         small = large.join(low, F.col("b") == F.col("u")).select(F.explode(F.array(F.struct("m", F.col("a").alias("v")), F.struct("m", F.col("u").alias("v")))).alias("e"))
         edges = materialize(small.select(F.col("e.m").alias("a"), F.col("e.v").alias("b")).where("a < b").distinct(), "edges")
+        discard(large, low)
         # stars: no centre is another star's leaf, and no leaf has two centres
         ends = edges.select(F.col("b").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionAll(edges.select(F.col("a"), F.lit(0), F.lit(1)))
         bad = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf > 0 and centre > 0")
@@ -259,7 +272,9 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return comps
     joined = _named(links, comps).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    return materialize(components(joined.unionAll(comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))), "components")
+    out = materialize(components(joined.unionAll(comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))), "components")
+    discard(comps)
+    return out
 
 
 def _placed(classes: DataFrame) -> DataFrame:
@@ -347,10 +362,15 @@ def meetings(placed: DataFrame, percent: int = 80) -> DataFrame:
     return map_arrow(rows_of, columns, "cell long, every boolean, side boolean, tree int, id long, n long, component long, sketch binary, regions array<long>", rows)
 
 
-def _met(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that join all components of written _placed that have a link in some region."""
+def _named_by(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The classes whose id is among ids, which may repeat."""
+    return classes.join(ids.distinct().hint("merge"), "id", "left_semi")
+
+
+def _met(docs: DataFrame, classes: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Written (a, b): links that join all components of written _placed that have a link in some region."""
     met = materialize(meetings(placed, percent), "cells")
-    sets = materialize(_sets(docs, met.select("id").distinct(), size).dropDuplicates(["id"]), "sets")
+    sets = _sets(docs, _named_by(classes, met.select("id")), size)
     both = met.join(sets.hint("merge"), "id").repartition("cell").sortWithinPartitions("cell")
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -379,38 +399,66 @@ def _met(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFra
                     b.append(cols["id"][j])
             yield {"a": a, "b": b}
 
-    return map_arrow(both, [*met.columns, "values"], "a long, b long", rows)
+    links = materialize(map_arrow(both, [*met.columns, "values"], "a long, b long", rows), "links")
+    discard(met, sets)
+    return links
 
 
-def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id and kept.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows with equal sets are linked, rows that
-    repeat a doc_id included. Rows with a null doc_id take part with the largest id and show null as their own.
-    """
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written _signed rows of docs, and (key, component): the least doc_id linked with each class."""
     signed = materialize(_signed(docs, size), "signed")
-    classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+    classes = _classes(signed)
     pairs = materialize(candidates(classes.withColumn("component", F.col("id")), NEIGHBOURS, percent), "pairs")
-    sets = _written_sets(docs, pairs, size)
+    sets = _sets(docs, _named_by(classes, pairs.select(F.explode(F.array("a", "b")).alias("id"))), size)
     best = pairs.groupBy("b").agg(F.min(F.struct("differ", "a"))["a"].alias("a")).select("a", "b")
-    comps = materialize(components(materialize(_confirm(best, sets, percent), "links")), "components")
-    rest = _named(pairs.join(best, ["a", "b"], "left_anti"), comps).where("ca <> cb")
-    comps = _joined(comps, materialize(_confirm(rest, sets, percent), "links"))
+    links = materialize(_confirm(best, sets, percent), "links")
+    comps = materialize(components(links), "components")
+    rest = materialize(_confirm(_named(pairs.join(best, ["a", "b"], "left_anti"), comps).where("ca <> cb"), sets, percent), "links")
+    discard(pairs, sets, links)
+    comps = _joined(comps, rest)
     placed = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    comps = _joined(comps, materialize(_met(docs, materialize(_placed(placed), "placed"), size, percent), "links"))
-    named = classes.select("key", "id").join(comps, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    named = materialize(named, "named")
-    out = signed.select("doc_id", "n", "key").join(named, "key", "left")
+    placed = materialize(_placed(placed), "placed")
+    met = _met(docs, classes, placed, size, percent)
+    discard(rest, placed)
+    comps = _joined(comps, met)
+    # components are named by class ids so far; their name is the least doc_id of a member
+    named = materialize(comps.join(classes.select("id", "doc_id").hint("merge"), "id"), "named")
+    least = materialize(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    least_of = named.join(least, "component").select("id", "least")
+    groups = materialize(classes.select("key", "id", "doc_id").join(least_of, "id", "left").select("key", F.coalesce("least", "doc_id").alias("component")), "groups")
+    discard(met, comps, named, least, classes)
+    return signed, groups
+
+
+def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id and kept.
+
+    Null and empty texts have no shingles and are linked with nothing. A text of any length is one set of all its shingles.
+    Rows with equal sets are linked; a row that repeats a doc_id with another text is linked by its own text alone.
+    Rows with a null doc_id take part with the largest id and show null as their own.
+    """
+    signed, groups = _grouped(docs, size, percent)
+    out = signed.select("doc_id", "n", "key").join(groups, "key", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select(own_id(), F.col("n").alias("n_shingles"), F.nullif(component, F.lit((1 << 63) - 1)).alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select(own_id(), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, columns unchanged, without the later members of each near-duplicate group.
+    """Rows of docs, columns unchanged, one for each near-duplicate group.
 
-    The row with the least doc_id stays; rows that repeat it as exact copies of id and text are one. Rows
-    with a null doc_id stay.
+    The row with the least doc_id stays, of several texts under it the one with the least MD5, of rows equal in both any one.
+    Rows without shingles and rows with a null doc_id stay.
     """
-    gone = link(docs.where("doc_id is not null"), size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    signed, groups = _grouped(docs.where("doc_id is not null"), size, percent)
+    grouped = materialize(signed.where("key is not null").select("doc_id", "digest", "key").join(groups, "key").select("doc_id", "digest", "component"), "grouped")
+    stay = materialize(grouped.where("doc_id = component").groupBy("component").agg(F.min("digest").alias("digest"), F.count("*").alias("rows")), "stay")
+    gone = grouped.join(stay.select("component", F.col("digest").alias("best")), "component").where("doc_id <> component or digest <> best")
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("doc_id").alias("__id"), F.md5("text").alias("__md5"))
+    left = lambda marks: marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__md5")).distinct().hint("merge")
+    kept = rows.join(left(gone), ["__id", "__md5"], "left_anti")
+    twice = stay.where("rows > 1").select(F.col("component").alias("doc_id"), "digest")
+    if not twice.isEmpty():  # equal rows of one doc_id, which only repeated rows bring about
+        once = kept.join(left(twice), ["__id", "__md5"], "left_semi").dropDuplicates(["__id", "__md5"])
+        kept = kept.join(left(twice), ["__id", "__md5"], "left_anti").unionByName(once)
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -165,7 +165,7 @@ def brute_links(rows, size=2, percent=80):
         n = min(size, len(w))
         sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset())
     ids = [float("inf") if r["doc_id"] is None else r["doc_id"] for r in rows]
-    parent = {k: k for k in ids}
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
@@ -175,10 +175,10 @@ def brute_links(rows, size=2, percent=80):
     for i, s in enumerate(sets):
         for j in range(i):
             if s and 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
-                a, b = sorted((root(ids[i]), root(ids[j])))
+                a, b = sorted((root(i), root(j)), key=lambda x: (ids[x], x))
                 parent[b] = a
     none = lambda x: None if x == float("inf") else x
-    return Counter((r["doc_id"], len(s), none(root(k) if s else k), (root(k) if s else k) == k) for r, s, k in zip(rows, sets, ids, strict=True))
+    return Counter((r["doc_id"], len(s), none(ids[root(i)]), ids[root(i)] == ids[i]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
 
 
 def test_op5(docs):
@@ -186,6 +186,16 @@ def test_op5(docs):
     assert got == brute_links(rows_of(docs))
 
 
+def test_op5_repeated_ids_are_linked_by_their_own_text(spark):
+    text = [common_text(), " ".join(f"v{i}" for i in range(40)), "alone here now"]
+    rows = [(3, text[0]), (6, text[0]), (6, text[1]), (7, text[1] + " x"), (9, text[2]), (9, text[2]), (10, None), (10, None), (11, ""), (None, text[0])]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, __md5 int").repartition(3)
+    assert Counter(tuple(r) for r in neardup.link(docs, size=2).collect()) == brute_links(rows_of(docs))
+    kept = neardup.keep_one(docs, size=2)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(3, text[0]), (6, text[1]), (9, text[2]), (10, ""), (10, ""), (11, ""), (0, text[0])])
+
+
 def test_components_on_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1300)] + [(2000, 2002), (2001, 2002)]
     got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
