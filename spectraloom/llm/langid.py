@@ -36,7 +36,7 @@ def normal(text: str | None) -> bytes:
 
 
 def _counts(train: DataFrame, order: int) -> DataFrame:
-    """(lang, k, gram, n): how often each (k+1)-byte gram, read as a big-endian number, occurs."""
+    """(lang, k, gram, n): how often each (k+1)-byte gram, read as a big-endian number, occurs within a text behind `order` spaces."""
 
     def grams(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
@@ -47,10 +47,14 @@ def _counts(train: DataFrame, order: int) -> DataFrame:
             for lang, texts in by.items():
                 for part in blocks(texts, len):
                     data = np.frombuffer(b"".join(part), np.uint8).astype(np.int64)
+                    sizes = np.fromiter(map(len, part), np.int64, len(part))
+                    coded = np.ones(len(data), bool)  # a text's padding is context, never coded
+                    coded[((np.cumsum(sizes) - sizes)[:, None] + np.arange(order)).ravel()] = False
+                    at = np.flatnonzero(coded)
                     for k in range(order + 1):
-                        code = np.zeros(len(data) - order, np.int64)
+                        code = np.zeros(len(at), np.int64)
                         for j in range(k + 1):
-                            code = code << 8 | data[order - k + j : len(data) - k + j]
+                            code = code << 8 | data[at - k + j]
                         gram, n = np.unique(code, return_counts=True)
                         yield {"lang": [lang] * len(gram), "k": [k] * len(gram), "gram": gram, "n": n}
 
@@ -142,7 +146,10 @@ def train(labelled: DataFrame, order: int = 3, sample_per_lang: int = 600, max_n
 
     A language with more than `sample_per_lang` rows gives about that many, picked by a hash
     of doc_id: the documented bound of the fit. `max_nodes` bounds the contexts kept per order.
+    order: at most 3, the bytes that the table of contexts is indexed by.
     """
+    if not 0 <= order <= 3:
+        raise ValueError("the order must be 0 to 3")
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(x for x in found if x)

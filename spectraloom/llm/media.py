@@ -148,20 +148,37 @@ def features(store: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, key: str, facts: DataFrame) -> DataFrame:
-    """(key, pos, kind, caption, ref and facts' columns) of every media reference; facts stay null where the store lacks it."""
-    refs = sequences.select(key, F.explode("items").alias("i")).where("i.kind <> 'text'")
-    refs = refs.select(key, "i.pos", "i.kind", "i.caption", "i.ref", F.regexp_extract("i.ref", "^sha256:([0-9a-f]{64})$", 1).alias("digest"))
+    """(key, n_items, pos, kind, caption, ref and facts' columns) of every media reference; facts stay null where the store lacks it."""
+    media = F.filter("items", lambda i: i["kind"] != "text")  # texts are left where they are
+    refs = sequences.select(key, F.size("items").alias("n_items"), F.explode(media).alias("i"))
+    refs = refs.select(key, "n_items", "i.pos", "i.kind", "i.caption", "i.ref", F.regexp_extract("i.ref", "^sha256:([0-9a-f]{64})$", 1).alias("digest"))
     return refs.join(facts, "digest", "left")
 
 
+def _escaped(text: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def document_page(name: Column, text: Column, digest: Column, n_bytes: Column) -> Column:
+    """HTML of a document: a heading, its text as paragraphs (one a line), its payload as a figure with a caption, and a closing line."""
+    paragraphs = F.concat(F.lit("<p>"), F.replace(_escaped(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    size = n_bytes.cast("string")
+    return F.concat(F.lit("<h1>document "), name, F.lit("</h1>"), paragraphs, F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>document '), name, F.lit(", "), size, F.lit(" bytes</figcaption></figure><p>end of document "), name, F.lit("</p>"))
+
+
 def document_media(docs: DataFrame) -> DataFrame:
-    """Store every text of docs as a medium, refer to it from an HTML page of its own and resolve the reference."""
+    """Store every text of docs as a medium, lay the document out as a page of text and that medium, parse the page and resolve its references.
+
+    A null text counts as empty; a text of any length is one medium. Besides the medium's facts: pos, its place among the page's
+    n_items items, and its caption.
+    """
     data, size = payload(F.col("text"))
-    rows = docs.select("doc_id", data.alias("data"), size.alias("n_bytes"))
+    rows = docs.select("doc_id", "text", data.alias("data"), size.alias("n_bytes"))
     store = materialize(rows.select(F.sha2("data", 256).alias("digest"), encode(F.col("data")).alias("media")), "media")
     facts = materialize(features(store), "features")  # a written table: AQE can split the join for a digest that many rows share
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
-    html = F.concat(F.lit('<figure><img src="sha256:'), F.sha2("data", 256), F.lit('"><figcaption>document '), name, F.lit(", "), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
-    pages = rows.select(F.struct("doc_id", "n_bytes").alias("page"), html.alias("html"))
+    pages = rows.select(F.struct("doc_id", "n_bytes").alias("page"), document_page(name, F.col("text"), F.sha2("data", 256), F.col("n_bytes")).alias("html"))
     found = resolve(parse(pages, "page"), "page", facts)
-    return found.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return found.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "n_items", "caption")

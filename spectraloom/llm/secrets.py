@@ -10,11 +10,14 @@ integers (hundredths of a nat), a table of fixed size, put into the plan as one
 Positions are code points. Spark has no function for match positions, so they are summed up
 from the lengths of the pieces between matches (split) and of the matches (regexp_extract_all),
 which alternate. Patterns run only where a cheaper test of the same text found something.
+Arrays are gone through in blocks of BLOCK (see _scan), so a text of any length and number of spans costs about
+its length: no step copies all that was found before it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +39,36 @@ MARKOV = "markov"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: A token is a secret if its mean log-likelihood ratio per character pair reaches this (hundredths of a nat).
 MIN_MEAN = 60
-_SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
+_ONE = "struct<start:int,end:int,kind:int,text:string>"
+_SPAN = f"array<{_ONE}>"
 _SIZE = 128
+#: Elements of an array that one inner fold goes through.
+BLOCK = 64
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once a row: a lambda's argument is, what a lambda refers to is not."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _scan(rows: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], last: Callable[[Column], Column] | None = None) -> Column:
+    """The outputs, of type `kind`, of (state, output) = step(state, row) over an array; `last` makes one more of the final state.
+
+    Outputs are put together in blocks and these joined at the end, so the work is linear up to some ten thousand rows.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    pack = lambda s, out: F.struct(s.alias("state"), out.alias("out"))
+
+    def one(acc: Column, row: Column) -> Column:
+        return _once(F.struct(*[c.alias(n) for c, n in zip(step(acc["state"], row), ("state", "out"), strict=True)]), lambda r: pack(r["state"], F.concat(acc["out"], F.array(r["out"]))))
+
+    def whole(rows: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+        block = lambda acc, part: F.aggregate(part, pack(acc["state"], none), one, lambda r: pack(r["state"], F.concat(acc["out"], F.array(r["out"]))))
+        end = (lambda r: F.concat(F.flatten(r["out"]), F.array(last(r["state"])))) if last else lambda r: F.flatten(r["out"])
+        return F.when(F.size(rows) > 0, F.aggregate(parts, pack(state, F.array().cast(f"array<array<{kind}>>")), block, end)).otherwise(none)
+
+    return _once(rows, whole)
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int, least: int, test: str) -> Column:
@@ -46,16 +77,13 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int, test
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
     rows = F.arrays_zip(F.transform(whole, lambda m: F.length(m)).alias("n"), F.transform(F.slice(between, 1, F.size(whole)), lambda p: F.length(p)).alias("gap"), judged.alias("text"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
 
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["gap"]
+    def step(at: Column, row: Column) -> tuple[Column, Column]:
+        begin = at + row["gap"]
         end = begin + row["n"]
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), row["text"].alias("text")))
-        found = F.when(F.length(row["text"]) >= least, F.concat(acc["found"], one)).otherwise(acc["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+        return end, F.when(F.length(row["text"]) >= least, F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), row["text"].alias("text")))
 
-    spans = F.aggregate(rows, start, step, lambda acc: acc["found"])
+    spans = F.filter(_scan(rows, F.lit(0), _ONE, step), lambda s: s.isNotNull())
     return F.when(text.rlike(test), spans).otherwise(F.array().cast(_SPAN))
 
 
@@ -68,10 +96,15 @@ def base_spans(text: Column) -> list[Column]:
     return [_matches(text, i, _pattern(kind, p), group, least, BASE_TEST[kind]) for i, (kind, p, group, least) in enumerate(BASE)]
 
 
+def _codes(string: Column) -> Column:
+    """Code points of a string's characters."""
+    return F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
 def _pairs(strings: Column) -> Column:
     """Codes a * 128 + b of all neighbouring characters of ASCII strings."""
-    one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.ascii(F.substr(s, i, F.lit(1))) * _SIZE + F.ascii(F.substr(s, i + 1, F.lit(1))))
-    return F.flatten(F.transform(F.filter(strings, lambda s: F.length(s) >= 2), one))
+    pair = lambda codes: F.transform(F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(codes, i) * _SIZE + F.get(codes, i + 1))
+    return F.flatten(F.transform(F.filter(strings, lambda s: F.length(s) >= 2), lambda s: _once(_codes(s), pair)))
 
 
 def train(docs: DataFrame, sample_docs: int = 4_000, seed: int = 11) -> list[int]:
@@ -105,8 +138,27 @@ def _log_chain(counts: list[list[int]], weight: float = 5.0) -> list[float]:
 
 def _ratio(token: Column, model: Column) -> Column:
     """Sum of a token's log-likelihood ratios over its character pairs."""
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(steps, F.lit(0), lambda acc, i: acc + F.element_at(model, F.ascii(F.substr(token, i, F.lit(1))) * _SIZE + F.ascii(F.substr(token, i + 1, F.lit(1))) + 1))
+    step = lambda acc, c: F.struct(c.alias("was"), (acc["sum"] + F.when(acc["was"] >= 0, F.get(model, acc["was"] * _SIZE + c)).otherwise(0)).alias("sum"))
+    return F.aggregate(_codes(token), F.struct(F.lit(-1).alias("was"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"])
+
+
+def _clear(tokens: Column, base: Column) -> Column:
+    """Of sorted tokens that don't overlap each other, those that overlap no base span: one sweep over both by start.
+
+    far: the furthest end of a base span so far; wait: the last token, which a base span may still meet.
+    """
+    none = F.lit(None).cast(_ONE)
+    state = lambda far, wait: F.struct(far.alias("far"), wait.alias("wait"))
+
+    def step(s: Column, e: Column) -> tuple[Column, Column]:
+        is_token, met = e["kind"] == len(BASE), e["start"] < s["wait"]["end"]
+        kept = F.when(is_token | ~F.coalesce(met, F.lit(False)), s["wait"])  # decided: clear unless this base span meets it
+        wait = F.when(is_token & (s["far"] <= e["start"]), e).otherwise(none)
+        return state(F.when(is_token, s["far"]).otherwise(F.greatest(s["far"], e["end"])), wait), kept
+
+    both = F.array_sort(F.concat(base, tokens))
+    swept = F.filter(_scan(both, state(F.lit(0), none), _ONE, step, lambda s: s["wait"]), lambda s: s.isNotNull())
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), swept).otherwise(tokens)
 
 
 def scan(docs: DataFrame, model: list[int], carry: list[Column] | None = None) -> DataFrame:
@@ -120,9 +172,8 @@ def scan(docs: DataFrame, model: list[int], carry: list[Column] | None = None) -
     rows = docs.select(*(carry or [F.col("doc_id")]), text.alias("__text"))
     rows = rows.withColumn("base", F.array_sort(F.concat(*base_spans(F.col("__text")))))
     rows = rows.withColumn("__token", _matches(F.col("__text"), len(BASE), TOKEN, 0, 20, r"[A-Za-z0-9+/_=-]{20}"))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     odd = lambda s: _ratio(s["text"], weights) >= MIN_MEAN * (F.length(s["text"]) - 1)
-    return rows.withColumn("extra", F.filter("__token", lambda s: odd(s) & clear(s))).drop("__token")
+    return rows.withColumn("extra", _once(F.filter("__token", odd), lambda tokens: _clear(tokens, F.col("base")))).drop("__token")
 
 
 def _listed(spans: Column) -> Column:
@@ -150,12 +201,17 @@ def redact(docs: DataFrame, model: list[int] | None = None, mark: str = "[SECRET
     names = [f"__{i}" for i in range(len(docs.columns))]
     found = scan(docs, model or train(docs), [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
     text, spans = F.col("__text"), F.array_sort(F.concat("base", "extra"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    gap = lambda at, s: (F.greatest(at, s["end"]), F.when(s["start"] >= at, F.struct(at.alias("low"), s["start"].alias("high"))))
+    gaps = F.filter(_scan(spans, F.lit(0), "struct<low:int,high:int>", gap), lambda g: g.isNotNull())  # what stays in front of each mark
+
+    def stretch(part: Column) -> Column:
+        """A block of gaps cuts its stretch of the text out once and counts positions from there."""
+        low = F.get(part, 0)["low"]
+        whole = F.struct(low.alias("low"), F.substr(text, low + 1, F.get(part, F.size(part) - 1)["high"] - low).alias("text"))
+        return _once(whole, lambda w: F.array_join(F.transform(part, lambda g: F.concat(F.substr(w["text"], g["low"] - w["low"] + 1, g["high"] - g["low"]), F.lit(mark))), ""))
+
+    in_blocks = lambda gaps: F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / BLOCK).cast("int")), lambda b: F.slice(gaps, b * BLOCK + 1, F.lit(BLOCK)))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    clean = F.concat(_once(gaps, lambda gaps: F.array_join(F.transform(in_blocks(gaps), stretch), "")), F.substr(text, end + 1, F.length(text)))
     found = found.withColumn("__clean", F.when(F.size(spans) > 0, clean).otherwise(text))
     return found.select(*[(F.when(F.col(n).isNotNull(), F.col("__clean")) if c == "text" else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -38,6 +38,8 @@ CHUNK_BYTES = 4 << 20
 #: Fingerprints a bucket should hold.
 BUCKET_ENTRIES = 2_000_000
 CHECK_BITS = 16
+#: Quantiles of doc_id at which dedup() starts another batch. What comes before the last is written as runs, and once more when they are compacted.
+BATCH_CUTS = [0.05, 0.1, 0.2]
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _R = np.uint64(0x165667B19E3779F9)
 
@@ -242,9 +244,12 @@ class FingerprintIndex:
 
     def _save(self, df: DataFrame) -> DataFrame:
         name = f"fingerprints_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{name}"
         with shuffles_freed(self.spark):
-            df.write.bucketBy(self.files, "bucket").sortBy("bucket").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        return self.spark.table(name)
+            df.write.bucketBy(self.files, "bucket").sortBy("bucket").option("path", path).saveAsTable(name)
+        saved = self.spark.table(name)
+        saved._written_to = path
+        return saved
 
     def ingest(self, packed: DataFrame, last: bool = False) -> DataFrame:
         """Join a batch with the runs: (chunk, data), the repeated fingerprints of each chunk.
@@ -254,7 +259,8 @@ class FingerprintIndex:
         new = fingerprints(packed, self.n_buckets)
         old = self.spark.createDataFrame([], self.SCHEMA).select("bucket", "data")
         for i, run in enumerate(self.runs):
-            old = run.select("bucket", "data") if i == 0 else old.unionAll(run.select("bucket", "data"))
+            entries = run.where("kind = 'run'").select("bucket", "data")
+            old = entries if i == 0 else old.unionAll(entries)
 
         def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a):
@@ -266,17 +272,18 @@ class FingerprintIndex:
         else:
             merged = new.groupBy("bucket").applyInPandas(lambda a: _join_bucket(a, a.iloc[:0], not last), self.SCHEMA)
         saved = self._save(merged)
+        answers = saved.where("kind = 'dup'").select("chunk", "data")
         if not last:
-            self.runs.append(saved.where("kind = 'run'"))
+            self.runs.append(saved)
             if len(self.runs) >= self.fanout:
                 self.compact()
-        return saved.where("kind = 'dup'").select("chunk", "data")
+        return answers
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        both = self.runs[0]
+        both = self.runs[0].where("kind = 'run'")
         for run in self.runs[1:]:
-            both = both.unionAll(run)
+            both = both.unionAll(run.where("kind = 'run'"))
         self.runs = [self._save(both.groupBy("bucket").applyInPandas(_merge_runs, self.SCHEMA))]
 
 
@@ -302,13 +309,13 @@ def _mark(ids: np.ndarray, texts: list[bytes], answers: list[bytes]) -> Iterator
 def dedup(docs: DataFrame, batches: list[float] | None = None, with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256 (and the kept text, if asked for).
 
-    Documents are taken in batches of ascending doc_id, cut at these quantiles of it (one cut at a quarter by
-    default), so that a window's earlier holder is in the history, or in the batch with a smaller doc_id.
-    A null text has no words. Rows with a null doc_id come after all others, rows that repeat a
+    Documents are taken in batches of ascending doc_id, cut at these quantiles of it (four batches by default, three
+    of which become runs that are compacted before the last one joins), so that a window's earlier holder is in the history, or in
+    the batch with a smaller doc_id. A null text has no words; a text of any length is one row of one chunk. Rows with a null doc_id come after all others, rows that repeat a
     doc_id do not remove from each other.
     """
     spark = docs.sparkSession
-    quantiles = [0.25] if batches is None else batches
+    quantiles = BATCH_CUTS if batches is None else batches
     cuts = docs.agg(F.percentile_approx("doc_id", quantiles or [0.5], 1000)).first()[0] or []
     batch = F.lit(0)
     for c in cuts if quantiles else []:
