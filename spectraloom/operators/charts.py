@@ -61,3 +61,8 @@ def health(batches: DataFrame, order: str) -> DataFrame:
     worst = (F.col("outside") > 25) & (F.lag("outside").over(w) > 25)
     status = F.when(F.row_number().over(w) == 1, "reference").when((F.col("drift") > 5) | F.coalesce(worst, F.lit(False)), "retrain").when((F.col("drift") > 2.5) | (F.col("outside") > 10), "watch").otherwise("ok")
     return batches.withColumn("status", status)
+
+
+def status(rows: DataFrame, distance: Column, warn: float, act: float) -> DataFrame:
+    """Adds status to runs: ok, warning or ACTION by two limits of a distance."""
+    return rows.withColumn("status", F.when(distance > act, "ACTION").when(distance > warn, "warning").otherwise("ok"))

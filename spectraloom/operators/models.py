@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import special
-from spectraloom.operators.stats import moments
+from spectraloom.operators.relational import cumulative, quantiles
+from spectraloom.operators.stats import moments, moments_by
 
 
 def folds(df: DataFrame, key: str, k: int, label: str | None = None, seed: int = 0) -> DataFrame:
@@ -62,7 +63,7 @@ def pls(df: DataFrame, values: str, targets: list[str], k: int) -> Linear:
 
 def lda(df: DataFrame, values: str, label: str, ridge: float = 1e-8) -> tuple[list, Linear]:
     """Linear discriminants from class means and the pooled covariance; scores are log posteriors up to a constant."""
-    stats = {r[0]: moments(df.where(F.col(label) == r[0]), values) for r in df.select(label).distinct().orderBy(label).collect()}
+    stats = moments_by(df, values, label)
     n = sum(s[0] for s in stats.values())
     pooled = sum((s[0] - 1) * s[2] for s in stats.values()) / max(1, n - len(stats))
     inverse = np.linalg.pinv(pooled + ridge * np.trace(pooled) / len(pooled) * np.eye(len(pooled)))
@@ -79,20 +80,65 @@ def classify(df: DataFrame, values: str, names: list, model: Linear) -> DataFram
     return out.withColumn("yhat", F.element_at(F.array(*[F.lit(n) for n in names]), at))
 
 
+#: Query rows that one pass over the training rows is held against.
+QUERY_BLOCK = 4096
+
+
 def knn(queries: DataFrame, train: DataFrame, key: str, label: str, values: str, k: int = 5) -> DataFrame:
-    """(key, yhat): majority of the k nearest training rows, the smaller class on ties.
+    """(key, yhat): majority of the k nearest training rows, the smaller class on ties; a row is no neighbour of its own key.
 
-    Queries are a stated set held against all training rows; each query keeps its k best per partition before the shuffle.
+    Queries are held against all training rows in blocks of QUERY_BLOCK: a block (of that size at most) is broadcast, and each batch of
+    training rows hands on its k nearest for every query of the block, so no pair but these leaves a task.
     """
-    q = queries.select(F.col(key).alias("q"), F.col(values).alias("v"))
-    t = train.select(F.col(key).alias("t"), F.col(label).alias("y"), F.col(values).alias("w"))
-    d = F.aggregate(F.zip_with("v", "w", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = q.join(F.broadcast(t), F.col("q") != F.col("t")).select("q", "t", "y", d.alias("d"))
+    names = [r[0] for r in queries.select(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)).alias("h")).groupBy("h").count().orderBy("h").collect()]
+    per = max(1, QUERY_BLOCK // max(1, math.ceil(queries.count() / max(1, len(names)))))
+    kind, near = train.schema[label].dataType.simpleString(), None
+    for at in range(0, len(names), per):
+        block = queries.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)).between(names[at], names[min(len(names), at + per) - 1])).select(key, values).collect()
+        shared = df_broadcast(train, (np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)))
+
+        def run(batches, shared=shared):
+            import pandas as pd
+
+            ids, q = shared.value
+            for b in batches:
+                x = np.stack([np.asarray(v, np.float64) for v in b["v"]]) if len(b) else np.zeros((0, q.shape[1]))
+                if not len(x):
+                    continue
+                d = np.stack([((x - one) ** 2).sum(1) for one in q])
+                d[ids[:, None] == b["t"].to_numpy()[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(ids)), best.shape[1])
+                out = pd.DataFrame({"q": ids[rows], "t": b["t"].to_numpy()[best.ravel()], "y": b["y"].to_numpy()[best.ravel()], "d": d[rows, best.ravel()]})
+                yield out[np.isfinite(out["d"])]
+
+        found = train.select(F.col(key).alias("t"), F.col(label).alias("y"), F.transform(values, lambda x: x.cast("double")).alias("v")).mapInPandas(run, f"q long, t long, y {kind}, d double")
+        near = found if near is None else near.unionAll(found)
+    if near is None:
+        return queries.select(key, F.lit(None).cast(kind).alias("yhat"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where(F.col("r") <= k)
     votes = near.groupBy("q", "y").agg(F.count("*").alias("n"))
     return votes.groupBy("q").agg(F.min(F.struct(-F.col("n"), "y"))["y"].alias("yhat")).withColumnRenamed("q", key)
 
 
+def df_broadcast(df: DataFrame, value):
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
+def pls_da(df: DataFrame, values: str, label: str, k: int) -> tuple[list, Linear]:
+    """Discriminant PLS (Barker & Rayens, 2003): PLS of the classes' indicators on autoscaled variables; the largest answer wins."""
+    by = moments_by(df, values, label)
+    n, mean = sum(m[0] for m in by.values()), sum(m[0] * m[1] for m in by.values()) / sum(m[0] for m in by.values())
+    total = sum((m[0] - 1) * m[2] + m[0] * np.outer(m[1] - mean, m[1] - mean) for m in by.values())
+    share = np.array([m[0] / n for m in by.values()])
+    cross = np.array([m[0] * (m[1] - mean) for m in by.values()]).T
+    sd = np.sqrt(np.diag(total) / max(1, n - 1))
+    sd = np.where(sd > 0, sd, 1.0)
+    spread = np.sqrt(np.maximum(n * share * (1 - share) / max(1, n - 1), 1e-300))
+    _, coef = pls_kernel(total / np.outer(sd, sd), cross / np.outer(sd, spread), k)
+    return list(by), Linear(mean, coef * spread / sd[:, None], share)
+
+
 def confusion(rows: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     return rows.groupBy(y, yhat).agg(F.count("*").alias("n"))
 
@@ -113,26 +159,53 @@ def regression_metrics(rows: DataFrame, y: str = "y", yhat: str = "yhat") -> Dat
     e = F.col(y) - F.col(yhat)
     rmse = F.sqrt(F.avg(e * e))
     sst = F.var_pop(y) * F.count(y)
-    iqr = F.percentile(y, F.lit(0.75)) - F.percentile(y, F.lit(0.25))
-    return rows.agg(F.count("*").alias("n"), rmse.alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / sst).alias("r2"), (F.stddev_samp(y) / rmse).alias("rpd"), (iqr / rmse).alias("rpiq"))
+    out = rows.agg(F.count("*").alias("n"), rmse.alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / sst).alias("r2"), (F.stddev_samp(y) / rmse).alias("rpd"))
+    iqr = quantiles(rows, y, {"q1": 0.25, "q3": 0.75}).select((F.col("q3") - F.col("q1")).alias("iqr"))
+    return out.crossJoin(F.broadcast(iqr)).withColumn("rpiq", F.col("iqr") / F.col("rmse")).drop("iqr")  # one row each
 
 
 def roc(rows: DataFrame, positive: Column, score: str) -> DataFrame:
     """(threshold, tpr, fpr): one point a distinct score, from the highest down."""
-    by = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("f"))
-    w = Window.orderBy(F.desc("threshold"))  # distinct scores, pre-aggregated
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return by.select("threshold", (F.sum("p").over(w) / F.sum("p").over(total)).alias("tpr"), (F.sum("f").over(w) / F.sum("f").over(total)).alias("fpr"))
+    by = rows.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("f"))
+    total = by.agg(F.sum("p").alias("ps"), F.sum("f").alias("fs"))
+    upto = cumulative(by.withColumn("down", -F.col("threshold")), "down", ["p", "f"]).crossJoin(F.broadcast(total))  # one row
+    return upto.select("threshold", F.try_divide("upto_p", "ps").alias("tpr"), F.try_divide("upto_f", "fs").alias("fpr"))
+
+
+def conformal_radius(residuals: DataFrame, alpha: float = 0.1, value: str = "residual", *keys: str) -> DataFrame:
+    """A row by keys: n and the k-th smallest absolute residual, k = ceil((n + 1)(1 - alpha)); infinite where k exceeds n."""
+    ranked = residuals.where(F.col(value).isNotNull()).groupBy(*keys, F.abs(value).alias("r")).agg(F.count("*").alias("c"))
+    n = ranked.groupBy(*keys).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).withColumn("k", F.ceil((F.col("n") + 1) * F.lit(1 - alpha) - 1e-9))
+    upto = cumulative(ranked, "r", ["c"], *keys)
+    joined = n.join(upto, list(keys), "left") if keys else n.join(upto, F.col("upto_c") >= F.col("k"), "left")
+    return joined.groupBy(*keys, "n").agg(F.coalesce(F.min(F.when(F.col("upto_c") >= F.col("k"), F.col("r"))), F.lit(float("inf"))).alias("radius"))
 
 
-def conformal_radius(residuals: DataFrame, alpha: float = 0.1, value: str = "residual") -> DataFrame:
-    """One row: n and the k-th smallest absolute residual, k = ceil((n + 1)(1 - alpha)); infinite where k exceeds n."""
-    n = residuals.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"))
-    ranked = residuals.where(F.col(value).isNotNull()).groupBy(F.abs(value).alias("r")).agg(F.count("*").alias("c"))
-    upto = ranked.withColumn("upto", F.sum("c").over(Window.orderBy("r")))
-    k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha) - 1e-9)
-    both = n.crossJoin(F.broadcast(n.select(F.lit(1).alias("one")))).select("n", k.alias("k"))  # one row
-    return both.join(upto, F.col("upto") >= F.col("k"), "left").groupBy("n").agg(F.coalesce(F.min("r"), F.lit(float("inf"))).alias("radius"))
+def overall(rows: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """One row: n, accuracy, balanced accuracy, macro precision, recall and F1, Cohen's kappa and Matthews' correlation, from the class counts."""
+    m = class_metrics(rows, y, yhat)
+    pred = rows.groupBy(F.col(yhat).alias("class")).agg(F.count("*").alias("predicted"))
+    hit = rows.where(F.col(y) == F.col(yhat)).groupBy(F.col(y).alias("class")).agg(F.count("*").alias("right"))
+    c = m.join(pred, "class", "left").join(hit, "class", "left").fillna(0, ["predicted", "right"])
+    s = c.agg(F.sum("support").alias("n"), F.sum("right").alias("c"), F.sum(F.col("support") * F.col("predicted")).alias("tp"), F.sum(F.col("support") * F.col("support")).alias("tt"), F.sum(F.col("predicted") * F.col("predicted")).alias("pp"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))
+    n, right, tp, tt, pp = (F.col(x).cast("double") for x in ("n", "c", "tp", "tt", "pp"))
+    mcc = F.coalesce(F.try_divide(right * n - tp, F.sqrt(n * n - pp) * F.sqrt(n * n - tt)), F.lit(0.0))
+    return s.select("n", (right / n).alias("accuracy"), "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1", F.coalesce(F.try_divide(right * n - tp, n * n - tp), F.lit(0.0)).alias("kappa"), mcc.alias("mcc"))
+
+
+def auc(scores: DataFrame, positive: Column, score: str, *keys: str) -> DataFrame:
+    """(keys…, auc): the share of (positive, negative) pairs in order, ties half (Mann & Whitney), from counts of distinct scores."""
+    by = scores.groupBy(*keys, F.col(score).cast("double").alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("f"))
+    upto = cumulative(by, "s", ["f"], *keys)
+    won = upto.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("upto_f") - F.col("f") / 2)).alias("w"), F.sum("p").alias("ps"), F.sum("f").alias("fs"))
+    return won.select(*keys, F.try_divide("w", F.col("ps") * F.col("fs")).alias("auc"))
+
+
+def stratified(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """Adds fold: rows of a class dealt by ascending key (a number), the folds being as many as the smallest class has rows at most."""
+    most = df.groupBy(label).agg(F.count("*").alias("c")).agg(F.least(F.lit(k).cast("long"), F.min("c")).alias("_k"))
+    dealt = cumulative(df.withColumn("_one", F.lit(1)), key, ["_one"], label)
+    return dealt.crossJoin(F.broadcast(most)).withColumn("fold", ((F.col("upto__one") - 1) % F.greatest(F.lit(1), F.col("_k"))).cast("int")).drop("_one", "upto__one", "_k")  # one row
 
 
 def mcnemar(rows: DataFrame, a_right: Column, b_right: Column) -> DataFrame:
@@ -152,3 +225,20 @@ def mcnemar_p(only_a: int, only_b: int) -> float:
 def paired_t(rows: DataFrame, difference: Column) -> DataFrame:
     """One row: n and Student's t of paired differences; its p-value is special.t_cdf of n - 1 degrees."""
     return rows.agg(F.count(difference).alias("n"), (F.avg(difference) / (F.stddev_samp(difference) / F.sqrt(F.count(difference)))).alias("t"))
+
+
+def pairwise(by_fold: DataFrame, names: list[str]) -> DataFrame:
+    """(one, other, n, difference, t, p, finding) of every two models' errors by fold, one column a model; folds are few."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    rows = by_fold.select(F.explode(F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("other"), (F.col(a) - F.col(b)).alias("d")) for a, b in pairs])).alias("e")).select("e.*")
+    out = rows.groupBy("one", "other").agg(F.count("d").alias("n"), F.avg("d").alias("difference"), F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("t"))
+    p = F.udf(lambda t, n: None if t is None or n < 2 else float(2 * (1 - special.t_cdf(abs(t), n - 1))), "double")  # a row a pair of models
+    better = F.when(F.col("difference") < 0, F.col("one")).otherwise(F.col("other"))
+    finding = F.when(F.col("p") < 0.05, F.concat(better, F.lit(" is better"))).otherwise("no clear difference")
+    return out.withColumn("p", p("t", "n")).withColumn("finding", finding)
+
+
+def fewest(rows: DataFrame, size: str, score: str, within: float) -> DataFrame:
+    """One row: the least size whose score is within `within` of the best."""
+    best = rows.agg(F.max(score).alias("_best"))
+    return rows.crossJoin(F.broadcast(best)).where(F.col(score) >= F.col("_best") - within).agg(F.min(size).alias(size))  # one row

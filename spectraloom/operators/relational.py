@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +71,53 @@ def shared_classes(rows: DataFrame, label: str, group: str) -> DataFrame:
     """Classes that occur in every group."""
     n = rows.agg(F.countDistinct(group).alias("groups"))
     return rows.groupBy(label).agg(F.countDistinct(group).alias("n")).crossJoin(F.broadcast(n)).where("n = groups").select(label)  # one row
+
+
+# ---- orders over many rows ----------------------------------------------------------------
+
+
+def cumulative(df: DataFrame, order: str, values: list[str], *keys: str, parts: int = 256) -> DataFrame:
+    """Adds upto_<value>: sums over the rows up to each one, by ascending `order` (a number, not null), within keys.
+
+    Rows are dealt by quantiles of `order` into `parts` ranges: sums of ranges plus a window inside a range, so no
+    task sees all rows. Rows should be distinct in keys and order, as counts of values are.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
+    inf = float("inf")
+    cuts = [c for c in cuts if -inf < c < inf]
+    ranged = df.withColumn("_at", F.col(order).cast("double"))
+    ranged = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_at", outputCol="_part", handleInvalid="keep").transform(ranged) if cuts else ranged.withColumn("_part", F.lit(0.0))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows a key
+    sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    base = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    inner = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(base, [*keys, "_part"])
+    return out.select(*df.columns, *[(F.col(f"_{v}") + F.sum(v).over(inner)).alias(f"upto_{v}") for v in values])
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """(keys…, n and a column a share): exact quantiles with linear interpolation, nulls left out.
+
+    Values are counted first and ranks are running sums of the counts (see cumulative), so no task holds a key's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    upto = cumulative(counts, "_v", ["_c"], *keys)
+    upto = upto.join(n, list(keys)) if keys else upto.crossJoin(F.broadcast(n))  # one row
+    at = lambda share: F.lit(share) * (F.col("n") - 1)
+    ranked = lambda rank: F.min(F.when(F.col("upto__c") > rank, F.col("_v")))
+    found = upto.groupBy(*keys, "n").agg(*[x for name, q in shares.items() for x in (ranked(F.floor(at(q))).alias(f"_lo_{name}"), ranked(F.ceil(at(q))).alias(f"_hi_{name}"))])
+    part = lambda q: at(q) - F.floor(at(q))
+    return found.select(*keys, "n", *[(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * part(q)).alias(name) for name, q in shares.items()])
+
+
+def levels(rows: DataFrame, factor: str, order: str, least: int = 2, most: int = 12) -> DataFrame:
+    """(factor, first, n): levels in order of first appearance, none unless their number is within bounds."""
+    found = rows.where(F.col(factor).isNotNull()).groupBy(factor).agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    number = found.agg(F.count("*").alias("_levels"))
+    return found.crossJoin(F.broadcast(number)).where(F.col("_levels").between(least, most)).drop("_levels")  # one row
+
+
+def design(samples: DataFrame, factors: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Samples joined with their factor levels; those without a level of every factor go."""
+    return samples.join(factors.select(key, *columns).where(" and ".join(f"`{c}` is not null" for c in columns)), key)

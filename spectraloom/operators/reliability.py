@@ -3,32 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import arrays
-from spectraloom.operators.models import Linear
+from spectraloom.operators.models import Linear, conformal_radius
+from spectraloom.operators.relational import cumulative, quantiles
 from spectraloom.operators.signal import map_matrix
-
-
-def cumulative(df: DataFrame, order: str, values: list[str], *keys: str, parts: int = 256) -> DataFrame:
-    """Adds upto_<value>: sums over the rows up to each one, by ascending `order` (a number, not null), within keys.
-
-    Rows are dealt by quantiles of `order` into `parts` ranges: sums of ranges plus a window inside a range, so no
-    task sees all rows. Rows should be distinct in keys and order, as counts of values are.
-    """
-    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
-    inf = float("inf")
-    cuts = [c for c in cuts if -inf < c < inf]
-    ranged = df.withColumn("_at", F.col(order).cast("double"))
-    ranged = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_at", outputCol="_part", handleInvalid="keep").transform(ranged) if cuts else ranged.withColumn("_part", F.lit(0.0))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows a key
-    sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    base = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
-    inner = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(base, [*keys, "_part"])
-    return out.select(*df.columns, *[(F.col(f"_{v}") + F.sum(v).over(inner)).alias(f"upto_{v}") for v in values])
+from spectraloom.operators.stats import average_rank
 
 
 def class_thresholds(calibration: DataFrame, label: str, score: str, alpha: float = 0.1) -> DataFrame:
@@ -45,6 +27,31 @@ def conformal_sets(scores: DataFrame, key: str, label: str, score: str, threshol
     return scores.select(key).distinct().join(inside.groupBy(key).agg(F.array_sort(F.collect_set(label)).alias("classes")), key, "left").withColumn("classes", F.coalesce("classes", F.array().cast(inside.select(F.array(label)).schema[0].dataType)))
 
 
+def acceptance(judged: DataFrame, label: str) -> DataFrame:
+    """By class model, from rows (label, own, inside): sensitivity, specificity, false alarms, missed and efficiency, the root of the first two's product."""
+    share = lambda keep, c: F.avg(F.when(keep, c.cast("double")))
+    own, inside = F.col("own"), F.col("inside")
+    out = judged.groupBy(label).agg(share(own, inside).alias("sensitivity"), share(~own, ~inside).alias("specificity"), F.count_if(~own & inside).alias("false_alarms"), F.count_if(own & ~inside).alias("missed"))
+    return out.withColumn("efficiency", F.sqrt(F.col("sensitivity") * F.col("specificity")))
+
+
+def tercile_radii(rows: DataFrame, yhat: str, residual: str, alpha: float = 0.1, least: int = 30) -> DataFrame:
+    """(tercile, n, radius): conformal radii by tercile of the prediction; one radius for all (tercile null) below `least` rows."""
+    cuts = quantiles(rows, yhat, {"a": 1 / 3, "b": 2 / 3}).first()
+    if cuts is None or cuts["n"] < least:
+        return conformal_radius(rows, alpha, residual).select(F.lit(None).cast("int").alias("tercile"), "n", "radius")
+    tercile = F.when(F.col(yhat) <= cuts["a"], 0).when(F.col(yhat) <= cuts["b"], 1).otherwise(2)
+    return conformal_radius(rows.withColumn("tercile", tercile), alpha, residual, "tercile")
+
+
+def consensus(rows: DataFrame, key: str, a: str, b: str, top: float = 0.75) -> DataFrame:
+    """(key, consensus, category): the mean of two measures' average-rank shares, and which of the two put it on top. One row a variable."""
+    n = F.count("*").over(Window.partitionBy())
+    shares = rows.withColumns({"_a": average_rank(F.col(a)) / n, "_b": average_rank(F.col(b)) / n})
+    high_a, high_b = F.col("_a") >= top, F.col("_b") >= top
+    return shares.select(key, ((F.col("_a") + F.col("_b")) / 2).alias("consensus"), F.when(high_a & high_b, "both").when(high_a, "first").when(high_b, "second").otherwise("none").alias("category"))
+
+
 def peak(rows: DataFrame, low: int, high: int, *keys: str, axis: str = "var_idx") -> DataFrame:
     """Of the window [low, high] of an axis: height, position (first on ties), centroid of |x| and trapezoid area; base: the 5th percentile of all x."""
     inside = F.col(axis).between(low, high)

@@ -46,10 +46,22 @@ def pqn(rows: DataFrame, key: str) -> DataFrame:
 
 
 def bucket(rows: DataFrame, width: float, *keys: str, axis: str = "var_idx") -> DataFrame:
-    """Sum in bins of an axis, from its least value on: (keys…, bin, centre, x)."""
-    low = rows.agg(F.min(axis).alias("low"))
-    binned = rows.crossJoin(F.broadcast(low)).withColumn("bin", F.floor((F.col(axis) - F.col("low")) / width))  # one row
-    return binned.groupBy(*keys, "bin").agg(F.avg(axis).alias("centre"), F.sum("x").alias("x"))
+    """Sum in bins of an axis, from its least value on: (keys…, bin, centre, x). An empty bin has sum 0 and its middle as centre.
+
+    Axis points are those of the rows, whose number is one spectrum's; a width beyond the axis' range is an error.
+    """
+    points = rows.select(F.col(axis).cast("double").alias("at")).distinct().agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    if points["low"] is not None and width > points["high"] - points["low"]:
+        raise ValueError("a bin is wider than the axis")
+    bin_of = F.floor((F.col(axis) - F.lit(points["low"])) / width)
+    sums = rows.withColumn("bin", bin_of).groupBy(*keys, "bin").agg(F.avg(axis).alias("centre"), F.sum("x").alias("x"))
+    full = rows.select(bin_of.alias("bin")).distinct().count()
+    last = int((points["high"] - points["low"]) // width) + 1 if points["low"] is not None else 0
+    if full == last:
+        return sums
+    grid = rows.select(*keys).distinct().crossJoin(F.broadcast(rows.sparkSession.range(last).select(F.col("id").alias("bin"))))  # bins of one spectrum
+    middle = F.lit(points["low"]) + (F.col("bin") + 0.5) * width
+    return grid.join(sums, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("centre", middle).alias("centre"), F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def block_scale(rows: DataFrame, kind: str) -> DataFrame:
@@ -156,20 +168,47 @@ def emsc(df: DataFrame, values: str, reference: np.ndarray, degree: int = 2) ->
     return map_matrix(df, values, f)
 
 
+def solve_pentadiagonal(d: np.ndarray, e: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Solutions of symmetric pentadiagonal systems, one a row: diagonals d (rows x n), e (n - 1) and f (n - 2), by L D L'."""
+    n = d.shape[1]
+    a, u, v, z = np.empty_like(d), np.zeros_like(d), np.zeros_like(d), np.empty_like(d)
+    for i in range(n):
+        own, low, right = d[:, i], e[i] if i < n - 1 else 0.0, y[:, i]
+        if i >= 1:
+            own = own - a[:, i - 1] * u[:, i - 1] ** 2
+            low = low - a[:, i - 1] * u[:, i - 1] * v[:, i - 1]
+            right = right - u[:, i - 1] * z[:, i - 1]
+        if i >= 2:
+            own = own - a[:, i - 2] * v[:, i - 2] ** 2
+            right = right - v[:, i - 2] * z[:, i - 2]
+        a[:, i], z[:, i] = own, right
+        u[:, i] = low / own
+        v[:, i] = f[i] / own if i < n - 2 else 0.0
+    x = z / a
+    for i in range(n - 2, -1, -1):
+        x[:, i] -= u[:, i] * x[:, i + 1]
+        if i < n - 2:
+            x[:, i] -= v[:, i] * x[:, i + 2]
+    return x
+
+
 def als_baseline(df: DataFrame, values: str, smooth: float = 1e5, p: float = 0.01, rounds: int = 10) -> DataFrame:
-    """x minus its asymmetric-least-squares baseline (Eilers & Boelens, 2005)."""
+    """x minus its asymmetric-least-squares baseline (Eilers & Boelens, 2005); the systems of a batch are solved together, band by band."""
 
     def f(x: np.ndarray) -> np.ndarray:
         n = x.shape[1]
-        second = np.diff(np.eye(n), 2, axis=0)
-        penalty, out = smooth * second.T @ second, np.empty_like(x)
-        for i, y in enumerate(x):
-            w = np.ones(n)
-            for _ in range(rounds):
-                z = np.linalg.solve(np.diag(w) + penalty, w * y)
-                w = np.where(y > z, p, 1 - p)
-            out[i] = y - z
-        return out
+        if n < 3:
+            return np.zeros_like(x)
+        second = np.array([1.0, -2.0, 1.0])
+        bands = np.zeros((3, n))  # of D'D, where D takes second differences
+        for i in range(n - 2):
+            for k in range(3):
+                bands[k, i : i + 3 - k] += second[: 3 - k] * second[k:]
+        w = np.ones_like(x)
+        for _ in range(rounds):
+            z = solve_pentadiagonal(w + smooth * bands[0], smooth * bands[1, : n - 1], smooth * bands[2, : n - 2], w * x)
+            w = np.where(x > z, p, 1 - p)
+        return x - z
 
     return map_matrix(df, values, f)
 

@@ -49,6 +49,31 @@ def moments(df: DataFrame, values: str) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, (got["q"].toArray().reshape(len(s), len(s)) - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
+def moments_by(df: DataFrame, values: str, label: str) -> dict:
+    """moments() of each class, in order of the labels, by one pass; rows without a label go."""
+
+    def part(batches):
+        import pandas as pd
+
+        sums: dict = {}
+        for b in batches:
+            for g, rows in b.groupby("g"):
+                x = np.stack([np.asarray(v, np.float64) for v in rows["v"]])
+                n, s, q = sums.get(g, (0, 0.0, 0.0))
+                sums[g] = (n + len(x), s + x.sum(0), q + x.T @ x)
+        if sums:
+            yield pd.DataFrame({"g": list(sums), "n": [t[0] for t in sums.values()], "s": [t[1].tolist() for t in sums.values()], "q": [t[2].ravel().tolist() for t in sums.values()]})
+
+    kind = df.schema[label].dataType.simpleString()
+    rows = df.select(F.col(label).alias("g"), F.col(values).alias("v")).where(F.col("g").isNotNull() & F.col("v").isNotNull())
+    add = lambda c: Summarizer.sum(array_to_vector(F.col(c))).alias(c)
+    out = {}
+    for r in rows.mapInPandas(part, f"g {kind}, n long, s array<double>, q array<double>").groupBy("g").agg(F.sum("n").alias("n"), add("s"), add("q")).orderBy("g").collect():
+        mean = r["s"].toArray() / r["n"]
+        out[r["g"]] = (r["n"], mean, (r["q"].toArray().reshape(len(mean), -1) - r["n"] * np.outer(mean, mean)) / max(1, r["n"] - 1))
+    return out
+
+
 def summed(df: DataFrame, values: str, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all batches of a vector that `part` makes of a batch's rows x variables matrix."""
 
@@ -126,11 +151,12 @@ def pca(df: DataFrame, values: str, k: int) -> PCA:
 def simca(df: DataFrame, values: str, label: str, variance: float = 0.9) -> dict[str, PCA]:
     """A PCA for each class with at least four rows, with the components that reach `variance`, a third of n at most."""
     out = {}
-    for r in df.groupBy(label).count().where("count >= 4").orderBy(label).collect():
-        n, mean, cov = moments(df.where(F.col(label) == r[label]), values)
+    for name, (n, mean, cov) in moments_by(df, values, label).items():
+        if n < 4:
+            continue
         whole = PCA.from_moments(n, mean, cov, len(mean))
         k = int(np.searchsorted(np.cumsum(whole.all_eigenvalues) / max(whole.all_eigenvalues.sum(), 1e-300), variance)) + 1
-        out[r[label]] = PCA.from_moments(n, mean, cov, max(1, min(k, n // 3)))
+        out[name] = PCA.from_moments(n, mean, cov, max(1, min(k, n // 3)))
     return out
 
 
@@ -166,3 +192,13 @@ def asca_one_factor(rows: DataFrame, factor: str) -> DataFrame:
     level = rows.groupBy(factor, "var_idx").agg(F.avg("x").alias("m"))
     joined = rows.join(level, [factor, "var_idx"]).join(F.broadcast(grand), "var_idx")
     return joined.agg(F.sum((F.col("m") - F.col("g")) ** 2).alias("ss_effect"), F.sum((F.col("x") - F.col("m")) ** 2).alias("ss_residual"), F.sum((F.col("x") - F.col("g")) ** 2).alias("ss_total"))
+
+
+def wilks_separation(by: dict) -> float:
+    """1 - Wilks' lambda of classes from moments_by."""
+    n = sum(m[0] for m in by.values())
+    mean = sum(m[0] * m[1] for m in by.values()) / n
+    within = sum((m[0] - 1) * m[2] for m in by.values())
+    total = within + sum(m[0] * np.outer(m[1] - mean, m[1] - mean) for m in by.values())
+    ridge = 1e-12 * np.eye(len(mean))
+    return float(1 - np.exp(np.linalg.slogdet(within + ridge)[1] - np.linalg.slogdet(total + ridge)[1]))

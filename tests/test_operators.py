@@ -182,7 +182,7 @@ def test_ewma_query_returns_all_rows(spark):
     from spectraloom.plans import registry
 
     d = "/root/testdata/sf0.01"
-    got = {(r["event_type"], r["event_id"]): r["ewma"] for r in registry.w1_ewma_all(spark, d).collect()}
+    got = {(r["event_type"], r["event_id"]): r["ewma"] for r in registry.w1_ewma(spark, d).collect()}
     events = registry.table(spark, d, "events").orderBy("event_type", "ts", "event_id").toPandas()
     want = {}
     for name, g in events.groupby("event_type"):
@@ -196,7 +196,7 @@ def test_cube_query_reduces_all_cubes(spark):
     from spectraloom.plans import registry
 
     d = "/root/testdata/sf0.1"
-    got = {(r["cube"], r["row"], r["col"], r["var_idx"]): r["x"] for r in registry.f26_cube_blocks_all(spark, d).collect()}
+    got = {(r["cube"], r["row"], r["col"], r["var_idx"]): r["x"] for r in registry.f26_cube_blocks(spark, d).collect()}
     x = np.array([r["embedding"] for r in registry.table(spark, d, "embeddings").orderBy("vec_id").collect()], float)
     means = x.reshape(4, 25, 20, 64)[:, :24, :18, :63].reshape(4, 8, 3, 6, 3, 9, 7).mean((2, 4, 6))
     assert got == pytest.approx(dict(np.ndenumerate(means)), abs=2e-6)
