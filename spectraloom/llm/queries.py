@@ -61,4 +61,40 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_substring, op3_decontaminate, op4_media, op5_neardup, op6_secrets, op7_quality, op8_chat, op9_warc, op10_langid)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+#: SQL of those that SQL can express: the plain definition over whole tables. The other operators are models, edit distances, byte formats
+#: and tokenizers; tests/llm has brute-force versions of them.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+ s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+ f AS (SELECT g, min(doc_id) AS m FROM s GROUP BY 1),
+ c AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT s.doc_id, s.i, unnest(range(0, 13)) AS k FROM s JOIN f USING (g) WHERE m < doc_id)),
+ x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+ k AS (SELECT x.doc_id, count(*) FILTER (c.i IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY x.i) FILTER (c.i IS NULL) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op5_neardup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT doc_id AS id, doc_id AS seen FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+ m AS (SELECT id, min(seen) AS component FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component AS component_id, d.doc_id = component AS kept FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op8_chat": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+ UNION ALL SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(0, 2) u(i)),
+ e AS (SELECT *, length('<|im_start|>') + length(replace(replace(r, '\\', '\\\\'), '<|', '<\\|')) + 1 + length(replace(replace(x, '\\', '\\\\'), '<|', '<\\|')) + length('<|im_end|>') + 1 AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r)) AS turns_sha256, CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(x, '' ORDER BY turn) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens FROM e GROUP BY 1""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, 'about:blank'), '\\s+', '', 'g') AS uri, coalesce(html, '') AS h FROM pages),
+ k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper, sha1(h) AS x FROM p),
+ b AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS digest FROM k),
+ u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(page_id || '/' || digest)) AS v FROM b)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to, uri,
+ '<urn:uuid:' || substr(v, 1, 8) || '-' || substr(v, 9, 4) || '-5' || substr(v, 14, 3) || '-' || substr('89ab', CAST(CAST('0x' || substr(v, 17, 1) AS BIGINT) % 4 + 1 AS INTEGER), 1) || substr(v, 18, 3) || '-' || substr(v, 21, 12) || '>' AS record_id FROM u""",
+}

@@ -455,6 +455,18 @@ def test_op10_does_not_depend_on_partitions(spark, sf_dir):
         langid.train(docs, order=4)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    got = queries.QUERIES[name](spark, sf_dir)
+    want = db.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want) and want
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
