@@ -15,25 +15,26 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Classifiers by name; each takes the numbers of variables and of classes.
+#: Classifiers by name; each takes the numbers of variables, classes and rows.
 CLASSIFIERS: dict[str, Callable] = {
-    "logistic": lambda p, k: C.LogisticRegression(regParam=0.001, standardization=False, maxIter=100),
-    "naive_bayes": lambda p, k: C.NaiveBayes(modelType="gaussian"),
-    "tree": lambda p, k: C.DecisionTreeClassifier(seed=0),
-    "forest": lambda p, k: C.RandomForestClassifier(numTrees=50, maxDepth=8, seed=0),
-    "boosted": lambda p, k: C.OneVsRest(classifier=C.GBTClassifier(maxIter=10, seed=0)),
-    "linear_svm": lambda p, k: C.OneVsRest(classifier=C.LinearSVC(maxIter=50)),
-    "perceptron": lambda p, k: C.MultilayerPerceptronClassifier(layers=[p, 50, k], seed=0),
+    "logistic": lambda p, k, n: C.LogisticRegression(regParam=1 / max(1, n), standardization=False, maxIter=2000),  # C = 1
+    "naive_bayes": lambda p, k, n: C.NaiveBayes(modelType="gaussian"),
+    "tree": lambda p, k, n: C.DecisionTreeClassifier(maxDepth=30, seed=0),
+    "forest": lambda p, k, n: C.RandomForestClassifier(numTrees=150, maxDepth=15, seed=0),
+    "boosted": lambda p, k, n: C.OneVsRest(classifier=C.GBTClassifier(maxIter=10, seed=0)),
+    "linear_svm": lambda p, k, n: C.OneVsRest(classifier=C.LinearSVC(maxIter=50)),
+    "perceptron": lambda p, k, n: C.MultilayerPerceptronClassifier(layers=[p, 50, k], seed=0),
 }
+#: Regressors by name; each takes the numbers of variables and rows and the target's population deviation, by which Spark's penalties are scaled.
 REGRESSORS: dict[str, Callable] = {
-    "ridge": lambda p: R.LinearRegression(regParam=0.01, standardization=False, solver="normal"),
-    "lasso": lambda p: R.LinearRegression(regParam=0.01, elasticNetParam=1.0, standardization=False),
-    "elastic_net": lambda p: R.LinearRegression(regParam=0.01, elasticNetParam=0.5, standardization=False),
-    "least_squares": lambda p: R.LinearRegression(solver="normal"),
-    "tree": lambda p: R.DecisionTreeRegressor(seed=0),
-    "forest": lambda p: R.RandomForestRegressor(numTrees=50, featureSubsetStrategy="0.2", seed=0),
-    "boosted": lambda p: R.GBTRegressor(maxIter=20, seed=0),
-    "pcr": lambda p: Pipeline(stages=[PCA(k=min(10, p), inputCol="features", outputCol="pcs"), R.LinearRegression(featuresCol="pcs", solver="normal")]),
+    "ridge": lambda p, n, sd: R.LinearRegression(regParam=1.0 / max(1, n) * sd, standardization=False, solver="normal"),
+    "lasso": lambda p, n, sd: R.LinearRegression(regParam=0.01, elasticNetParam=1.0, standardization=False),
+    "elastic_net": lambda p, n, sd: R.LinearRegression(regParam=0.005 * (1 + sd), elasticNetParam=1 / (1 + sd), standardization=False),
+    "least_squares": lambda p, n, sd: R.LinearRegression(solver="normal"),
+    "tree": lambda p, n, sd: R.DecisionTreeRegressor(maxDepth=30, seed=0),
+    "forest": lambda p, n, sd: R.RandomForestRegressor(numTrees=100, featureSubsetStrategy="0.2", seed=0),
+    "boosted": lambda p, n, sd: R.GBTRegressor(maxIter=20, seed=0),
+    "pcr": lambda p, n, sd: Pipeline(stages=[PCA(k=min(10, p), inputCol="features", outputCol="pcs"), R.LinearRegression(featuresCol="pcs", solver="normal")]),
 }
 
 
@@ -47,7 +48,7 @@ def classify(train: DataFrame, test: DataFrame, values: str, label: str, kind: s
     rows = features(train.withColumn("_y", F.col(label).cast("string")), values)
     fitted = index.fit(rows)
     p = len(rows.first()["features"])
-    model = CLASSIFIERS[kind](p, len(fitted.labels)).fit(fitted.transform(rows))
+    model = CLASSIFIERS[kind](p, len(fitted.labels), rows.count()).fit(fitted.transform(rows))
     names = F.array(*[F.lit(x) for x in fitted.labels])
     return model.transform(features(test, values)).select(*test.columns, F.element_at(names, F.col("prediction").cast("int") + 1).alias("yhat"))
 
@@ -55,7 +56,8 @@ def classify(train: DataFrame, test: DataFrame, values: str, label: str, kind: s
 def regress(train: DataFrame, test: DataFrame, values: str, target: str, kind: str) -> DataFrame:
     """test with yhat of a model of `kind` that learnt from train."""
     rows = features(train.withColumn("label", F.col(target).cast("double")), values)
-    model = REGRESSORS[kind](len(rows.first()["features"])).fit(rows)
+    n, sd = rows.agg(F.count("label"), F.coalesce(F.stddev_pop("label"), F.lit(0.0))).first()
+    model = REGRESSORS[kind](len(rows.first()["features"]), n, sd).fit(rows)
     return model.transform(features(test, values)).select(*test.columns, F.col("prediction").alias("yhat"))
 
 

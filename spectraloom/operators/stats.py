@@ -202,3 +202,29 @@ def wilks_separation(by: dict) -> float:
     total = within + sum(m[0] * np.outer(m[1] - mean, m[1] - mean) for m in by.values())
     ridge = 1e-12 * np.eye(len(mean))
     return float(1 - np.exp(np.linalg.slogdet(within + ridge)[1] - np.linalg.slogdet(total + ridge)[1]))
+
+
+def asca(df: DataFrame, values: str, a: str, b: str) -> dict[str, float]:
+    """Sums of squares of two factors, their interaction, the residuals and the centred data (Smilde, 2005), over all variables.
+
+    Sum-to-zero coding, sequential: a, then b, then a x b. All follows from the cells' numbers, means and spreads, by one pass.
+    """
+    cell = F.concat_ws("|", F.col(a).cast("string"), F.col(b).cast("string"))
+    by = moments_by(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_cell", cell), values, "_cell")
+    names = [k.rsplit("|", 1) for k in by]
+    n = np.array([m[0] for m in by.values()], float)
+    means = np.array([m[1] for m in by.values()])
+    residual = float(sum((m[0] - 1) * np.trace(m[2]) for m in by.values()))
+    centred = means - n @ means / n.sum()
+    columns = []
+    for at in (0, 1):
+        levels = sorted({x[at] for x in names})
+        columns.append(np.array([[float(x[at] == k) - float(x[at] == levels[-1]) for k in levels[:-1]] for x in names]))
+    columns.append(np.einsum("ij,ik->ijk", columns[0], columns[1]).reshape(len(names), -1))
+    w, design, last, out = np.sqrt(n)[:, None], np.ones((len(names), 1)), 0.0, {}
+    for name, x in zip(("ss_a", "ss_b", "ss_ab"), columns, strict=True):
+        design = np.hstack([design, x])
+        fitted = design @ np.linalg.lstsq(w * design, w * centred, rcond=None)[0]
+        now = float((n[:, None] * fitted**2).sum())
+        out[name], last = max(0.0, now - last), now
+    return out | {"ss_residual": residual, "ss_total": float((n[:, None] * centred**2).sum()) + residual}

@@ -475,7 +475,8 @@ def l11_pls(spark, d):
     return model.scores(df.where("fold = 0"), "spectrum").select("vec_id", F.round("y", 6).alias("y"), F.round(F.element_at("yhat", 1), 6).alias("yhat"))
 
 
-@query()
+@query("""WITH {LONG}, t AS (SELECT i, least(greatest(i, 3), 60) AS c FROM range(0, 64) u(i))
+ SELECT vec_id, CAST(i AS INTEGER) AS var_idx, round(sum((var_idx - c) * x) / 28.0 + 2 * (i - c) * sum(((var_idx - c) * (var_idx - c) - 4) * x) / 84.0, 6) AS x FROM long JOIN t ON var_idx BETWEEN c - 3 AND c + 3 GROUP BY vec_id, i, c""")
 def f9_savgol_derivative(spark, d):
     return rounded(signal.long_view(signal.savgol(spectra(spark, d), "spectrum", 64, 7, 2, 1), "spectrum", "vec_id"), "x")
 
@@ -504,7 +505,8 @@ def f11_align(spark, d):
     return signal.long_view(signal.align(df, "spectrum", mean, [0, 16, 32, 48, 64], 4), "spectrum", "vec_id")
 
 
-@query()
+@query("""WITH {LONG}, t AS (SELECT k, least(greatest(-1 + 65.0 * k / 39, 0), 63) AS pos FROM range(0, 40) u(k)), n AS (SELECT k, pos, least(floor(pos), 62) AS lo FROM t)
+ SELECT vec_id, true AS outside, CAST(k AS INTEGER) AS var_idx, round(max(x) FILTER (var_idx = lo) * (1 - (pos - lo)) + max(x) FILTER (var_idx = lo + 1) * (pos - lo), 6) AS x FROM long JOIN n ON var_idx BETWEEN lo AND lo + 1 GROUP BY vec_id, k, pos, lo""")
 def f12_interpolate(spark, d):
     return rounded(signal.long_view(signal.interpolate(spectra(spark, d), "spectrum", np.arange(64.0), np.linspace(-1, 64, 40)), "spectrum", "vec_id", "outside"), "x")
 

@@ -438,3 +438,21 @@ def m33_t11_component_curve(spark, d):
 def m22_pc_combinations(spark, d):
     found = screening.pc_combinations(fusion.sums_by(folded(spark, d), ["spectrum"], "y", F.col("fold")))
     return rounded(spark.createDataFrame([(i + 1, ",".join(str(c + 1) for c in combo), q2) for i, (combo, q2) in enumerate(found[:12])], "place int, components string, q2 double"), "q2")
+
+
+@query("""WITH {LONG}, c AS (SELECT vec_id % 2 AS a, vec_id // 2 % 5 AS b, var_idx, x FROM long), g AS (SELECT var_idx, avg(x) AS g FROM c GROUP BY 1), ma AS (SELECT a, var_idx, avg(x) AS ma FROM c GROUP BY 1, 2), mb AS (SELECT b, var_idx, avg(x) AS mb FROM c GROUP BY 1, 2), mc AS (SELECT a, b, var_idx, avg(x) AS mc FROM c GROUP BY 1, 2, 3)
+ SELECT round(sum(power(ma - g, 2)), 5) AS ss_a, round(sum(power(mb - g, 2)), 5) AS ss_b, round(sum(power(mc - ma - mb + g, 2)), 5) AS ss_ab, round(sum(power(x - mc, 2)), 5) AS ss_residual, round(sum(power(x - g, 2)), 5) AS ss_total FROM c JOIN g USING (var_idx) JOIN ma USING (a, var_idx) JOIN mb USING (b, var_idx) JOIN mc USING (a, b, var_idx)""")
+def m35_asca_two_factors(spark, d):
+    """Two crossed factors with as many rows in each cell, so that the order of the factors does not matter."""
+    from spectraloom.operators import stats
+
+    df = spectra(spark, d).withColumns({"a": F.col("vec_id") % 2, "b": F.floor(F.col("vec_id") / 2) % 5})
+    return spark.createDataFrame([{k: round(v, 5) for k, v in stats.asca(df, "spectrum", "a", "b").items()}], "ss_a double, ss_b double, ss_ab double, ss_residual double, ss_total double")
+
+
+@query("WITH i AS (SELECT vec_id % 4 AS inst, CAST(e AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings)) SELECT 'pooled' AS training, count(*) AS cells, round(sum(x), 5) AS total FROM i WHERE inst <> 0 UNION ALL SELECT CAST(inst AS VARCHAR), count(*), round(sum(x), 5) FROM i GROUP BY 1")
+def u2_pooled_training(spark, d):
+    """Rows of all instruments but the first, pooled, beside those of each."""
+    x = signal.long_view(spectra(spark, d).withColumn("inst", F.col("vec_id") % 4), "spectrum", "inst")
+    both = x.where("inst <> 0").select(F.lit("pooled").alias("training"), "x").unionByName(x.select(F.col("inst").cast("string").alias("training"), "x"))
+    return rounded(both.groupBy("training").agg(F.count("*").alias("cells"), F.sum("x").alias("total")), "total", digits=5)

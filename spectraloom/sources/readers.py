@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -10,11 +12,14 @@ from spectraloom.operators.relational import number_of
 
 
 def sniff(lines: list[str]) -> tuple[str, bool]:
-    """Delimiter (the most frequent of , ; tab in the first line) and whether commas are decimal."""
-    first = lines[0] if lines else ""
-    sep = max(",;\t", key=first.count) if any(c in first for c in ",;\t") else ","
-    import re
+    """Delimiter and whether commas are decimal.
 
+    Of , ; and tab, the one that is most frequent in the first line where it parts all lines into as many fields, else the most frequent one.
+    """
+    first = lines[0] if lines else ""
+    there = [c for c in ",;\t" if c in first]
+    even = [c for c in there if len({x.count(c) for x in lines if x.strip()}) == 1]
+    sep = max(even or there or [","], key=first.count)
     return sep, sep != "," and any(re.search(r"\d,\d", x) for x in lines)
 
 
@@ -29,13 +34,37 @@ def unique_headers(names: list[str | None]) -> list[str]:
     return out
 
 
-def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file with header as strings, delimiter and headers worked out."""
-    lines = [r[0].lstrip("﻿") for r in spark.read.option("encoding", encoding).text(path).limit(15).collect()]
+def read_table(spark: SparkSession, path: str, encoding: str | None = None, header_row: int = 1) -> DataFrame:
+    """A delimited file as strings, delimiter and headers worked out; the header is row 1 to 10, rows before it are left out.
+
+    Without an encoding given, UTF-8 is taken unless the first lines show it is none, then Latin-1.
+    """
+    text = lambda e: spark.read.text(path).select((F.col("value") if e == "UTF-8" else F.decode(F.col("value").cast("binary"), e)).alias("value"))
+    head = lambda e: [r[0].lstrip("\ufeff") for r in text(e).limit(15).collect()]
+    encoding = encoding or ("ISO-8859-1" if any("\ufffd" in x for x in head("UTF-8")) else "UTF-8")
+    lines = head(encoding)[header_row - 1 :]
     sep, _ = sniff(lines)
     names = unique_headers([c.strip('"') for c in lines[0].split(sep)] if lines else [])
     schema = StructType([StructField(n, StringType()) for n in names])
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding)
+    if header_row == 1:
+        return spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding)
+    skipped = head(encoding)[:header_row]  # up to ten lines, told by their content
+    parsed = F.from_csv("value", ", ".join(f"`{n}` STRING" for n in names), {"sep": sep})
+    return text(encoding).where(~F.col("value").isin(skipped)).select(parsed.alias("r")).select("r.*")
+
+
+def typed(table: DataFrame) -> DataFrame:
+    """Columns as numbers where no value but null would be lost, else as they are; one pass counts what each would lose."""
+    lost = table.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`")) != "") & number_of(F.col(f"`{c}`")).isNull()).alias(f"_{i}") for i, c in enumerate(table.columns)]).first()
+    return table.select(*[(number_of(F.col(f"`{c}`")) if not lost[i] else F.col(f"`{c}`")).alias(c) for i, c in enumerate(table.columns)])
+
+
+def matching(table: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns in that order; an error lists those that are absent."""
+    missing = [n for n in names if n not in table.columns]
+    if missing:
+        raise ValueError(f"columns are absent: {', '.join(missing)}")
+    return table.select(*[F.col(f"`{n}`") for n in names])
 
 
 def is_axis(name: str) -> bool:

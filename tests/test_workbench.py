@@ -175,3 +175,45 @@ def test_projects_and_files(spark, tmp_path, frame):
     assert [r["class"] for r in named.orderBy("id").collect()] == ["a", "b", "c"]
     with pytest.raises(ValueError):
         projects.manual(spark.range(2), "id", "a", "class")
+
+
+def test_asca_of_unequal_cells_is_sequential_least_squares(spark, frame):
+    df = frame.where("id <> 4 and id <> 31").withColumn("b", (F.col("id") % 2).cast("int"))
+    rows = sorted(df.collect(), key=lambda r: r["id"])
+    x, a, b = np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["b"] for r in rows])
+    xc = x - x.mean(0)
+    da = np.stack([(a == k) * 1.0 - (a == 2) for k in (0, 1)], 1)
+    db = ((b == 0) * 1.0 - (b == 1))[:, None]
+    d, last, want = np.ones((len(x), 1)), 0.0, {}
+    for name, more in (("ss_a", da), ("ss_b", db), ("ss_ab", da * db)):
+        d = np.hstack([d, more])
+        now = ((d @ np.linalg.lstsq(d, xc, rcond=None)[0]) ** 2).sum()
+        want[name], last = now - last, now
+    got = stats.asca(df, "v", "label", "b")
+    assert {k: got[k] for k in want} == pytest.approx(want) and got["ss_total"] == pytest.approx((xc**2).sum()) and sum(got[k] for k in ("ss_a", "ss_b", "ss_ab", "ss_residual")) == pytest.approx(got["ss_total"])
+
+
+def test_penalties_are_those_of_the_plain_problems(spark, frame):
+    from spectraloom.operators import catalogue
+
+    x, _, y, _ = values(frame)
+    y = y + np.sin(np.arange(90))
+    df = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(90)], "id long, y double, v array<double>")
+    xc, yc = x - x.mean(0), y - y.mean()
+    ridge = xc @ np.linalg.solve(xc.T @ xc + np.eye(8), xc.T @ yc) + y.mean()
+    got = [r["yhat"] for r in catalogue.regress(df, df, "v", "y", "ridge").orderBy("id").collect()]
+    assert got == pytest.approx(ridge, abs=1e-6)
+
+
+def test_reader_encodings_header_rows_and_types(spark, tmp_path):
+    from spectraloom.sources import readers
+
+    (tmp_path / "l.csv").write_bytes("id;Größe;n\n1;ü;2,5\n2;b;\n".encode("latin-1"))
+    t = readers.read_table(spark, str(tmp_path / "l.csv"))
+    assert t.columns == ["id", "Größe", "n"] and t.first()["Größe"] == "ü"
+    assert dict(readers.typed(t).dtypes) == {"id": "double", "Größe": "string", "n": "double"}
+    (tmp_path / "h.csv").write_text("made by x\n\nid,a\n1,2\n3,4\n")
+    assert sorted(tuple(r) for r in readers.read_table(spark, str(tmp_path / "h.csv"), header_row=3).collect()) == [("1", "2"), ("3", "4")]
+    assert readers.sniff(["a;b,c;d", "1;2;3", "4;5;6"])[0] == ";"
+    with pytest.raises(ValueError, match="absent: z"):
+        readers.matching(t, ["id", "z"])
