@@ -23,8 +23,8 @@ from spectraloom.llm.common import NO_ID, map_arrow, materialize, own_id, shared
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages that one archive file holds at most, which bounds what a reading task holds compressed.
-PAGES_A_FILE = 5_000
+#: A file ends with the record that takes it past this many bytes, which bounds what a reading task holds compressed.
+FILE_BYTES = 32 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: RFC 4122's name space of URLs
 
 
@@ -75,12 +75,18 @@ def write(pages: DataFrame, path: str) -> None:
     last = materialize(rows.groupBy("payload").agg(F.max("page_id").alias("keeper")), "keepers")
 
     def records(batches: Iterator[dict]) -> Iterator[dict]:
+        written = 0
         for cols in batches:
             for at in range(0, len(cols["page_id"]), 200):
-                yield {"value": [r for x in zip(*(cols[c][at : at + 200] for c in ("page_id", "url", "html", "keeper")), strict=True) for r in capture(*x)]}
-
-    out = map_arrow(rows.join(last, "payload"), ["page_id", "url", "html", "keeper"], "value string", records)
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * PAGES_A_FILE).text(path)
+                value = [r for x in zip(*(cols[c][at : at + 200] for c in ("page_id", "url", "html", "keeper")), strict=True) for r in capture(*x)]
+                part = []
+                for r in value:
+                    part.append(written // FILE_BYTES)
+                    written += len(r.encode())
+                yield {"value": value, "part": part}
+
+    out = map_arrow(rows.join(last, "payload"), ["page_id", "url", "html", "keeper"], "value string, part long", records)
+    out.write.partitionBy("part").option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def _read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
