@@ -209,16 +209,19 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.0, max_bits: float = 7.0, evidence: float = 100.0) -> DataFrame:
     """Rows of docs, columns unchanged, whose language was determined with at least `min_score`.
 
-    Where no row is labelled there is nothing to learn: every text with a letter stays.
+    A text that even the best language's model codes at more than `max_bits` a byte, by `evidence` bits or more over the
+    whole text, is in none of the languages (unpredictable bytes cost 8): encoded data, gibberish, languages not
+    learned. Short texts lack the evidence and stay. Where no row is labelled there is nothing to learn: every text with a letter stays.
     """
     model = train(docs.where(fold(F.col("doc_id")) != 0))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], F.col("text"))
-    scored = predict(out, model, carry=[f"__{i}" for i in range(len(docs.columns))])
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(
+    out = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], F.octet_length("text").alias("__bytes"), F.col("text"))
+    scored = predict(out, model, carry=[*(f"__{i}" for i in range(len(docs.columns))), "__bytes"])
+    foreign = (F.col("bits_per_byte") - max_bits) * F.col("__bytes") >= evidence
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score) & ~foreign).select(
         *[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)]
     )

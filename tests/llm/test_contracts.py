@@ -1,7 +1,9 @@
 """Every query against a plain, whole-table version of its contract, on the small tables and on hand-made rows."""
 
 import base64
+import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -395,6 +397,16 @@ def test_op9_edges(spark):
     assert warc.page_archive(pages.limit(0)).count() == 0
 
 
+def test_op9_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"{k} " + "x" * 9_000) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "archives"))
+    counts = [r["n"] for r in warc.read(spark, str(tmp_path / "archives")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    files = list((tmp_path / "archives").glob("part=*/*.gz"))
+    assert len(files) > 10 and all(len(gzip.decompress(f.read_bytes())) < 40_000 + 10_000 for f in files)
+    assert sum(counts) == 180
+
+
 def test_op10(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
@@ -448,6 +460,15 @@ def test_op10_costs_are_code_lengths(spark):
         assert got[j] == pytest.approx(want, abs=len(data) / langid.UNIT)
 
 
+def test_language_stage_rejects_what_no_model_codes(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400)), "".join(rng.choice("0123456789abcdef") for _ in range(4_000)), "привет как дела сегодня погода хорошая"]
+    more = docs.limit(1).drop("doc_id", "text", "lang").crossJoin(spark.createDataFrame([(-k - 1, t) for k, t in enumerate([*junk, "Zq7 x"])], "doc_id long, text string"))
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionByName(more, allowMissingColumns=True)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")} | {-4}
+
+
 def test_op10_does_not_depend_on_partitions(spark, sf_dir):
     docs = documents(spark, sf_dir)
     assert Counter(langid.identify(docs.repartition(1)).collect()) == Counter(langid.identify(docs.repartition(8)).collect())
