@@ -76,17 +76,30 @@ def shared_classes(rows: DataFrame, label: str, group: str) -> DataFrame:
 # ---- orders over many rows ----------------------------------------------------------------
 
 
+def in_ranges(df: DataFrame, order: str, parts: int = 256) -> DataFrame:
+    """Adds _part: the place of a row's range of `order` (a number or time; nulls first), of about `parts` ranges by approximate quantiles.
+
+    Rows with equal `order` are in one range.
+    """
+    inf = float("inf")
+    at, kind = F.col(order), df.schema[order].dataType.typeName()
+    if kind in ("date", "timestamp_ntz"):  # not by way of a time zone, whose clock may be set back
+        at = F.unix_date(at.cast("date")) * 86_400 + (F.hour(at) * 3_600 + F.minute(at) * 60 + F.second(at) if kind == "timestamp_ntz" else 0)
+    ranged = df.withColumn("_at", F.coalesce(at.cast("double"), F.lit(-inf)))
+    cuts = sorted(set(ranged.approxQuantile("_at", [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
+    cuts = [c for c in cuts if -inf < c < inf]
+    if not cuts:
+        return ranged.withColumn("_part", F.lit(0.0)).drop("_at")
+    return Bucketizer(splits=[-inf, *cuts, inf], inputCol="_at", outputCol="_part", handleInvalid="keep").transform(ranged).drop("_at")
+
+
 def cumulative(df: DataFrame, order: str, values: list[str], *keys: str, parts: int = 256) -> DataFrame:
     """Adds upto_<value>: sums over the rows up to each one, by ascending `order` (a number, not null), within keys.
 
     Rows are dealt by quantiles of `order` into `parts` ranges: sums of ranges plus a window inside a range, so no
     task sees all rows. Rows should be distinct in keys and order, as counts of values are.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
-    inf = float("inf")
-    cuts = [c for c in cuts if -inf < c < inf]
-    ranged = df.withColumn("_at", F.col(order).cast("double"))
-    ranged = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_at", outputCol="_part", handleInvalid="keep").transform(ranged) if cuts else ranged.withColumn("_part", F.lit(0.0))
+    ranged = in_ranges(df, order, parts)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows a key
     sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     base = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])

@@ -178,6 +178,29 @@ def test_ewma_of_small_weights_and_long_series(spark):
         assert got == pytest.approx(want, rel=1e-12)
 
 
+def test_charts_do_not_depend_on_block_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(s, int(k // 3), k, float(v)) for s in ("a", "b") for k, v in enumerate(rng.normal(5, 1, 700))] + [("c", None, 0, 1.0), ("c", 4, 1, 2.0)]
+    df = spark.createDataFrame(rows, "series string, at long, id long, value double")
+    place, found = {}, []
+    for s in "abc":
+        order = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        place |= {(s, r[2]): i + 1 for i, r in enumerate(order)}
+    for size in (1 << 16, 200):
+        monkeypatch.setattr(charts, "BLOCK", size)
+        base = charts.baseline(df, "value", ["at", "id"], 20, "series")
+        out = charts.westgard(charts.ewma(charts.cusum(base, "series"), "value", "series"), "series")
+        assert out.count() == len(rows)
+        found.append({(r["series"], r["id"]): r for r in out.collect()})
+    assert {k: r["n"] for k, r in found[1].items()} == place
+    for k, r in found[0].items():
+        assert found[1][k]["cusum"] == pytest.approx(r["cusum"], abs=1e-9) and found[1][k]["ewma"] == pytest.approx(r["ewma"], rel=1e-12)
+        assert all(found[1][k][c] == r[c] for c in ("r_1_3s", "r_2_2s", "r_4s", "r_4_1s", "r_10x"))
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(charts, "BLOCK", 100)
+        charts.ewma(base, "value", "series")
+
+
 def test_ewma_query_returns_all_rows(spark):
     from spectraloom.plans import registry
 
