@@ -111,6 +111,23 @@ def smooth3(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("smooth", (before + F.col("x") + after) / 3)
 
 
+def high_regions(rows: DataFrame, *keys: str, share: float = 0.75, top: int = 15) -> DataFrame:
+    """(keys…, first, last, n, peak, height, place): runs of variables whose smoothed x reaches its quantile, the `top` highest peaks.
+
+    A quantile and a window per key see one spectrum; peak is the first of equals.
+    """
+    keyed = list(keys)
+    smooth = smooth3(rows, *keys)
+    cut = smooth.groupBy(*keyed).agg(F.percentile("smooth", F.lit(share)).alias("_cut"))
+    high = smooth.join(cut, keyed).where(F.col("smooth") >= F.col("_cut"))
+    at = F.row_number().over(Window.partitionBy(*keyed).orderBy("var_idx"))
+    runs = high.withColumn("_run", F.col("var_idx") - at)
+    highest = F.max(F.struct("smooth", (-F.col("var_idx")).alias("i")))
+    found = runs.groupBy(*keyed, "_run").agg(F.min("var_idx").alias("first"), F.max("var_idx").alias("last"), F.count("*").alias("n"), highest.alias("_top"))
+    place = F.row_number().over(Window.partitionBy(*keyed).orderBy(F.desc("_top.smooth"), "first"))
+    return found.withColumn("place", place).where(F.col("place") <= top).select(*keyed, "first", "last", "n", (-F.col("_top.i")).alias("peak"), F.col("_top.smooth").alias("height"), "place")
+
+
 def running_median(rows: DataFrame, half: int, *keys: str) -> DataFrame:
     """Adds `median`: of 2 * half + 1 neighbours, zeros beyond the ends."""
     w = Window.partitionBy(*keys).orderBy("var_idx").rowsBetween(-half, half)

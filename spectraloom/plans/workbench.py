@@ -236,6 +236,14 @@ def t5_top_windows(spark, d):
     return rounded(w.orderBy(F.desc("importance"), "win").limit(4), "importance")
 
 
+@query("""WITH {LONG}, s AS (SELECT vec_id, var_idx, (coalesce(lag(x) OVER w, x) + x + coalesce(lead(x) OVER w, x)) / 3 AS s FROM long WINDOW w AS (PARTITION BY vec_id ORDER BY var_idx)),
+ c AS (SELECT vec_id, quantile_cont(s, 0.75) AS cut FROM s GROUP BY 1), h AS (SELECT vec_id, var_idx, s, var_idx - row_number() OVER (PARTITION BY vec_id ORDER BY var_idx) AS run FROM s JOIN c USING (vec_id) WHERE s >= cut),
+ r AS (SELECT vec_id, min(var_idx) AS first, max(var_idx) AS last, count(*) AS n, max(s) AS height, min(var_idx) FILTER (s = m) AS peak FROM (SELECT *, max(s) OVER (PARTITION BY vec_id, run) AS m FROM h) GROUP BY vec_id, run)
+ SELECT vec_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, n, CAST(peak AS INTEGER) AS peak, round(height, 6) AS height, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY height DESC, first) AS place FROM r) WHERE place <= 15""")
+def p20_high_regions(spark, d):
+    return rounded(signal.high_regions(long(spark, d), "vec_id"), "height")
+
+
 @query("WITH {LONG}, y AS (SELECT vec_id, avg(x) AS y FROM long WHERE var_idx < 8 GROUP BY 1), m AS (SELECT var_idx, covar_samp(x, y) AS cov, corr(x, y) AS r FROM long JOIN y USING (vec_id) GROUP BY 1) SELECT var_idx, round(abs(cov) * abs(r), 8) AS score FROM m ORDER BY abs(cov) * abs(r) DESC, var_idx LIMIT 12")
 def t6_top_markers(spark, d):
     rows = long(spark, d)
