@@ -165,3 +165,37 @@ def instruments(df: DataFrame, values: str, target: str, instrument: str, fold:
             found["pooled"] = judged(_all([x for name, x in whole.items() if name != test]), own)
         rows += [(train, test, own.n, float(np.sqrt(e / own.n)), float(-first / own.n)) for train, (e, first) in found.items()]
     return df.sparkSession.createDataFrame(rows, "train string, test string, n long, rmse double, bias double")
+
+
+def enrichment(df: DataFrame, values: str, target: str, instrument: str, key: str, sizes: tuple[int, ...] = (0, 3, 5, 10, 20), repeats: int = 5, k: int = 4) -> DataFrame:
+    """(instrument, added, rmse, sd): PLS on all other instruments and `added` rows of this one, tested on its remaining rows; mean and deviation over `repeats` draws.
+
+    A draw takes the rows of the lowest hashes, so max(sizes) rows an instrument and repeat come to the driver, whatever
+    the table's size. Draws that leave no test row are left out, and an instrument with none for a size has no row there.
+    """
+    from pyspark.sql import Window
+
+    rows = df.where(F.col(target).isNotNull() & F.col(instrument).isNotNull())
+    by = sums_by(rows, [values], target, F.col(instrument))
+    drawn: dict[tuple[str, int], list[np.ndarray]] = {}
+    for repeat in range(repeats):
+        place = F.row_number().over(Window.partitionBy(instrument).orderBy(F.xxhash64(F.lit(repeat), F.col(key)), F.col(key)))
+        taken = rows.select(F.col(instrument).cast("string").alias("g"), _vector([values], target).alias("v"), place.alias("place")).where(F.col("place") <= max(sizes))
+        for r in sorted(taken.collect(), key=lambda r: r["place"]):
+            drawn.setdefault((r["g"], repeat), []).append(np.asarray(r["v"], np.float64))
+
+    out = []
+    for name, own in by.items():
+        others = [x for other, x in by.items() if other != name]
+        for size in sizes if others else ():
+            rmse = []
+            for repeat in range(1 if size == 0 else repeats):
+                x = np.stack(drawn[name, repeat])[:size]
+                added = Sums(len(x), x.sum(0), x.T @ x)
+                train, test = _all([*others, added]), own - added
+                if test.n > 0:
+                    mean, cov = train.centred()
+                    rmse.append(np.sqrt(test.errors(mean, pls_kernel(cov[:-1, :-1], cov[:-1, -1:], k)[1][:, 0])[0] / test.n))
+            if rmse:
+                out.append((name, size, float(np.mean(rmse)), float(np.std(rmse))))
+    return df.sparkSession.createDataFrame(out, "instrument string, added int, rmse double, sd double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions import arrays
 from spectraloom.operators.models import Linear, conformal_radius
 from spectraloom.operators.relational import cumulative, quantiles
-from spectraloom.operators.signal import map_matrix
+from spectraloom.operators.signal import map_matrix, savgol
 from spectraloom.operators.stats import average_rank
 
 
@@ -67,6 +67,21 @@ def peak(rows: DataFrame, low: int, high: int, *keys: str, axis: str = "var_idx"
     ).select(*keys, "height", (-F.col("_top.i")).alias("position"), "centroid", "area", "base")
 
 
+def noise(df: DataFrame, values: str, n: int, *keys: str, low: int, high: int) -> DataFrame:
+    """(keys…, noise, snr): the deviation of the spectrum from its Savitzky-Golay smoothing (11 points, degree 2), and the window's height over the 5th percentile by it.
+
+    snr is null where the noise is 0. A spectrum is one row; nothing is shuffled.
+    """
+    both = savgol(df.select(*keys, values, F.col(values).alias("_smooth")), "_smooth", n, 11, 2)
+    rest = both.withColumn("noise", arrays.sd_pop(F.zip_with(values, "_smooth", lambda a, b: a - b)))
+    sorted_x = F.array_sort(values)
+    at = 0.05 * (n - 1)
+    under = F.get(sorted_x, F.lit(int(at)))
+    base = under + (F.get(sorted_x, F.lit(min(int(at) + 1, n - 1))) - under) * (at - int(at))
+    height = F.array_max(F.slice(values, low + 1, high - low + 1)) - base
+    return rest.select(*keys, "noise", F.when(F.col("noise") > 0, height / F.col("noise")).alias("snr"))
+
+
 # ---- partners -----------------------------------------------------------------------------
 
 

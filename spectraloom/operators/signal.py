@@ -136,6 +136,42 @@ def running_median(rows: DataFrame, half: int, *keys: str) -> DataFrame:
     return rows.withColumn("median", F.element_at(F.array_sort(full), half + 1))
 
 
+def _local(i: Column, x: Column, s: Column) -> Column:
+    """Prominence of position i (from 0) of s, at value x: its height over the higher of the two lowest points before something higher or an end."""
+
+    def lowest(side: Column) -> Column:
+        start = F.struct(F.lit(True).alias("open"), x.alias("low"))
+        step = lambda a, v: F.when(a["open"] & (v <= x), F.struct(F.lit(True).alias("open"), F.least(a["low"], v).alias("low"))).otherwise(F.struct(F.lit(False).alias("open"), a["low"].alias("low")))
+        return F.aggregate(side, start, step, lambda a: a["low"])
+
+    return x - F.greatest(lowest(F.reverse(F.slice(s, F.lit(1), i))), lowest(F.slice(s, i + 2, F.size(s))))
+
+
+def peaks(df: DataFrame, values: str, *keys: str, share: float = 0.05, top: int = 10) -> DataFrame:
+    """(keys…, position, height, prominence, place): the `top` highest maxima of the smoothed values, equals by position.
+
+    A maximum is above both neighbours and its prominence at least `share` of the largest smoothed value. Without any, the
+    first largest value is given with a null prominence. Null and empty arrays give no row. No shuffle: an array is one row's.
+    """
+    x, last = F.col(values), F.size(values) - 1
+    smooth = F.transform(x, lambda v, i: (F.get(x, F.greatest(i - 1, F.lit(0))) + v + F.get(x, F.least(i + 1, last))) / 3)
+    rows = df.where(F.size(values) > 0).select(*keys, smooth.alias("_s"))
+    s = F.col("_s")
+    placed = F.transform(s, lambda v, i: F.struct(i.alias("position"), v.alias("height")))
+    maxima = F.filter(placed, lambda p: (p["height"] > F.get(s, p["position"] - 1)) & (p["height"] > F.get(s, p["position"] + 1)))
+    judged = F.transform(maxima, lambda p: F.struct((-p["height"]).alias("_h"), p["position"].alias("position"), _local(p["position"], p["height"], s).alias("prominence")))
+    high = F.slice(F.array_sort(F.filter(judged, lambda p: p["prominence"] >= share * F.array_max(s))), 1, top)
+    first = F.struct((-F.array_max(s)).alias("_h"), (F.array_position(s, F.array_max(s)) - 1).cast("int").alias("position"), F.lit(None).cast("double").alias("prominence"))
+    found = rows.select(*keys, high.alias("_p"), first.alias("_f")).select(*keys, F.posexplode(F.when(F.size("_p") > 0, F.col("_p")).otherwise(F.array("_f"))).alias("place", "p"))
+    return found.select(*keys, "p.position", (-F.col("p._h")).alias("height"), "p.prominence", (F.col("place") + 1).alias("place"))
+
+
+def centred_by(rows: DataFrame, group: str) -> DataFrame:
+    """Long rows with each group's mean of a variable taken off; groups are few, so that the means are groups x variables."""
+    means = rows.groupBy(group, "var_idx").agg(F.avg("x").alias("_m"))
+    return rows.join(means, [group, "var_idx"]).withColumn("x", F.col("x") - F.col("_m")).drop("_m")
+
+
 # ---- matrices: Arrow-batched NumPy ------------------------------------------------------------
 
 
@@ -276,3 +312,20 @@ def align(df: DataFrame, values: str, reference: np.ndarray, cuts: list[int], mo
         return out
 
     return map_matrix(df, values, f)
+
+
+def without_groups(df: DataFrame, values: str, group: str, tolerance: float = 1e-9) -> DataFrame:
+    """Spectra without the directions in which the groups' means differ: external parameter orthogonalisation (Roger, 2003).
+
+    The driver sees one mean a group (instruments: few) and decomposes them; one group changes nothing.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    means = df.where(F.col(group).isNotNull()).groupBy(group).agg(Summarizer.mean(array_to_vector(F.col(values))).alias("m")).orderBy(group).collect()
+    if len(means) < 2:
+        return df
+    m = np.stack([r["m"].toArray() for r in means])
+    _, size, axes = np.linalg.svd(m - m.mean(0), full_matrices=False)
+    axes = axes[size > tolerance * max(size[0], 1e-300)]
+    return map_matrix(df, values, lambda x: x - (x @ axes.T) @ axes)

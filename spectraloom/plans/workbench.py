@@ -464,3 +464,51 @@ def u2_pooled_training(spark, d):
     x = signal.long_view(spectra(spark, d).withColumn("inst", F.col("vec_id") % 4), "spectrum", "inst")
     both = x.where("inst <> 0").select(F.lit("pooled").alias("training"), "x").unionByName(x.select(F.col("inst").cast("string").alias("training"), "x"))
     return rounded(both.groupBy("training").agg(F.count("*").alias("cells"), F.sum("x").alias("total")), "total", digits=5)
+
+
+# ---- peaks, noise, instruments ------------------------------------------------------------------
+
+
+@query("""WITH {LONG}, s AS (SELECT vec_id, var_idx AS i, (coalesce(lag(x) OVER w, x) + x + coalesce(lead(x) OVER w, x)) / 3 AS s FROM long WINDOW w AS (PARTITION BY vec_id ORDER BY var_idx)),
+ p AS (SELECT * FROM (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY i)) WHERE s > a AND s > b),
+ e AS (SELECT p.vec_id, p.i, p.s, coalesce(max(q.i) FILTER (q.i < p.i AND q.s > p.s), -1) AS l, coalesce(min(q.i) FILTER (q.i > p.i AND q.s > p.s), 64) AS r FROM p JOIN s q USING (vec_id) GROUP BY 1, 2, 3),
+ m AS (SELECT e.vec_id, e.i, e.s, e.s - greatest(min(q.s) FILTER (q.i > l AND q.i <= e.i), min(q.s) FILTER (q.i >= e.i AND q.i < r)) AS prominence FROM e JOIN s q USING (vec_id) GROUP BY 1, 2, 3),
+ t AS (SELECT vec_id, max(s) AS top, arg_max(i, (s, -i)) AS top_i FROM s GROUP BY 1), h AS (SELECT m.* FROM m JOIN t USING (vec_id) WHERE prominence >= 0.05 * top),
+ f AS (SELECT * FROM h UNION ALL SELECT vec_id, top_i, top, NULL FROM t WHERE vec_id NOT IN (SELECT vec_id FROM h))
+ SELECT vec_id, CAST(i AS INTEGER) AS position, round(s, 6) AS height, round(prominence, 6) AS prominence, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, i) AS place FROM f) WHERE place <= 10""")
+def p21_peaks(spark, d):
+    return rounded(signal.peaks(spectra(spark, d), "spectrum", "vec_id"), "height", "prominence")
+
+
+@query("""WITH {LONG}, c AS (SELECT *, least(greatest(var_idx, 5), 58) AS c FROM long),
+ r AS (SELECT a.vec_id, a.var_idx, a.x - sum(b.x * (1 / 11.0::DOUBLE + (a.var_idx - a.c) * (b.var_idx - a.c) / 110.0::DOUBLE + (power(a.var_idx - a.c, 2) - 10) * (power(b.var_idx - a.c, 2) - 10) / 858.0::DOUBLE)) AS e FROM c a JOIN long b ON a.vec_id = b.vec_id AND b.var_idx BETWEEN a.c - 5 AND a.c + 5 GROUP BY a.vec_id, a.var_idx, a.x),
+ n AS (SELECT vec_id, stddev_pop(e) AS noise FROM r GROUP BY 1), h AS (SELECT vec_id, max(x) FILTER (var_idx BETWEEN 20 AND 40) - quantile_cont(x, 0.05) AS height FROM long GROUP BY 1)
+ SELECT vec_id, round(noise, 6) AS noise, round(height / noise, 5) AS snr FROM n JOIN h USING (vec_id)""")
+def m51_noise(spark, d):
+    out = reliability.noise(spectra(spark, d), "spectrum", 64, "vec_id", low=20, high=40)
+    return rounded(out, "noise").withColumn("snr", F.round("snr", 5))
+
+
+_INSTRUMENT = "{LONG}, i AS (SELECT vec_id, vec_id % {n} AS inst, var_idx, x FROM long), m AS (SELECT inst, var_idx, avg(x) AS m FROM i GROUP BY 1, 2)"
+
+
+@query("WITH " + _INSTRUMENT.replace("{n}", "4") + " SELECT vec_id, var_idx, round(x - m, 6) AS x FROM i JOIN m USING (inst, var_idx)")
+def f20_instrument_centred(spark, d):
+    rows = signal.centred_by(long(spark, d).withColumn("inst", F.col("vec_id") % 4), "inst")
+    return rounded(rows.select("vec_id", "var_idx", "x"), "x")
+
+
+@query("WITH " + _INSTRUMENT.replace("{n}", "2") + """, a AS (SELECT var_idx, max(m) FILTER (inst = 1) - max(m) FILTER (inst = 0) AS d FROM m GROUP BY 1), s AS (SELECT vec_id, sum(x * d) / (SELECT sum(d * d) FROM a) AS share FROM i JOIN a USING (var_idx) GROUP BY 1)
+ SELECT vec_id, var_idx, round(x - share * d, 6) AS x FROM i JOIN a USING (var_idx) JOIN s USING (vec_id)""")
+def f20_instruments_projected_out(spark, d):
+    """Two instruments: the difference of their means is one direction."""
+    out = signal.without_groups(spectra(spark, d).withColumn("inst", F.col("vec_id") % 2), "spectrum", "inst")
+    return rounded(signal.long_view(out, "spectrum", "vec_id").select("vec_id", "var_idx", "x"), "x")
+
+
+@query()
+def m42_enrichment_curve(spark, d):
+    """The four instruments of m40_m42_instruments."""
+    inst = F.col("vec_id") % 4
+    df = folded(spark, d).withColumn("inst", inst).withColumn("spectrum", F.transform("spectrum", lambda x: x * (1 + 0.02 * F.col("inst")) + 0.05 * F.col("inst")))
+    return rounded(fusion.enrichment(df, "spectrum", "y", "inst", "vec_id"), "rmse", "sd")
