@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions import arrays
 from spectraloom.operators.models import Linear
 from spectraloom.operators.signal import map_matrix
-from spectraloom.operators.stats import moments
+from spectraloom.operators.stats import moments, moments_by
 
 
 def _joined(*arrays: Column) -> Column:
@@ -78,7 +78,11 @@ def transfer(df: DataFrame, secondary: str, master: str, kind: str = "pds", half
 
     offset: mean difference; ds: one regression on all variables; pds: one on `half` neighbours at each side.
     """
-    _, mean, cov = moments(df.select(_joined(F.col(secondary), F.col(master)).alias("v")), "v")
+    return _mapping(*moments(df.select(_joined(F.col(secondary), F.col(master)).alias("v")), "v")[1:], kind, half, rcond)
+
+
+def _mapping(mean: np.ndarray, cov: np.ndarray, kind: str, half: int, rcond: float) -> Linear:
+    """transfer() from the moments of both spectra side by side."""
     p = len(mean) // 2
     ss, sm = cov[:p, :p], cov[:p, p:]
     coef = np.eye(p)
@@ -92,6 +96,31 @@ def transfer(df: DataFrame, secondary: str, master: str, kind: str = "pds", half
     return Linear(mean[:p], coef, mean[p:])
 
 
+def transfer_errors(df: DataFrame, secondary: str, master: str, group: str, kinds: tuple[str, ...] = ("offset", "ds", "pds"), half: int = 2, rcond: float = 1e-3) -> DataFrame:
+    """(kind, n, before, after): root mean squares of the differences to the master, each group mapped by a fit to all others.
+
+    One pass sums the moments of each group (few); errors of a linear map follow from them.
+    """
+    rows = df.where(F.col(secondary).isNotNull() & F.col(master).isNotNull()).select(group, _joined(F.col(secondary), F.col(master)).alias("v"))
+    sums = {g: (n, n * m, (n - 1) * np.nan_to_num(c) + n * np.outer(m, m)) for g, (n, m, c) in moments_by(rows, "v", group).items()}
+    n_all, s_all, q_all = (sum(x[i] for x in sums.values()) for i in range(3))
+
+    def squares(w: np.ndarray, at: np.ndarray, n: int, s: np.ndarray, q: np.ndarray) -> float:
+        return float(np.sum(w * (q @ w)) - 2 * at @ (s @ w) + n * at @ at)
+
+    out = []
+    for kind in kinds if len(sums) > 1 else ():
+        before = after = 0.0
+        for n, s, q in sums.values():
+            rest, p = n_all - n, len(s) // 2
+            mean = (s_all - s) / rest
+            fit = _mapping(mean, (q_all - q - rest * np.outer(mean, mean)) / max(1, rest - 1), kind, half, rcond)
+            before += squares(np.vstack([np.eye(p), -np.eye(p)]), np.zeros(p), n, s, q)
+            after += squares(np.vstack([fit.coef, -np.eye(p)]), mean[:p] @ fit.coef - mean[p:], n, s, q)
+        out.append((kind, int(n_all), *(float(np.sqrt(max(0.0, x) / (n_all * p))) for x in (before, after))))
+    return df.sparkSession.createDataFrame(out, "kind string, n long, before double, after double")
+
+
 # ---- multivariate curve resolution --------------------------------------------------------
 
 

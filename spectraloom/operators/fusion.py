@@ -199,3 +199,36 @@ def enrichment(df: DataFrame, values: str, target: str, instrument: str, key: st
             if rmse:
                 out.append((name, size, float(np.mean(rmse)), float(np.std(rmse))))
     return df.sparkSession.createDataFrame(out, "instrument string, added int, rmse double, sd double")
+
+
+def shares(df: DataFrame, a: str, b: str, target: str, k: int = 4) -> DataFrame:
+    """(strategy, share_a, share_b): the variance of each block's part of the prediction over the sum of both; null where both are 0."""
+    total = _all(list(sums_by(df, [a, b], target, F.lit("all")).values()))
+    width, (_, cov) = len(df.select(a).where(F.col(a).isNotNull()).first()[0]), total.centred()
+    out = []
+    for name, coef in strategies(cov, width, k).items():
+        parts = [float(c @ cov[at, at] @ c) for at in (slice(0, width), slice(width, len(cov) - 1)) for c in (coef[at],)]
+        out.append((name, *(x / sum(parts) if sum(parts) > 0 else None for x in parts)))
+    return df.sparkSession.createDataFrame(out, "strategy string, share_a double, share_b double")
+
+
+def confirm(by: dict[str, Sums], regions: list[tuple[int, int]], draws: int = 5, k: int = 4, seed: int = 0) -> list[tuple[str, float]]:
+    """Cross-validated rmse of PLS on all variables, on the regions [first, last] and on `draws` sets of windows of the same widths at random places.
+
+    `by` holds the sums of each fold; a set of variables is a part of them, so no row is read again.
+    """
+    total, rng = _all(list(by.values())), np.random.default_rng(seed)
+    p = len(total.s) - 1
+
+    def judged(at: np.ndarray) -> float:
+        cols = np.append(at, p)
+        part = lambda x: Sums(x.n, x.s[cols], x.q[np.ix_(cols, cols)])
+        error = 0.0
+        for own in by.values():
+            mean, cov = part(total - own).centred()
+            error += part(own).errors(mean, pls_kernel(cov[:-1, :-1], cov[:-1, -1:], min(k, len(at)))[1][:, 0])[0]
+        return float(np.sqrt(error / total.n))
+
+    spread = lambda windows: np.unique(np.concatenate([np.arange(low, high + 1) for low, high in windows]))
+    at_random = [[(low, low + high - first) for first, high in regions for low in (int(rng.integers(0, p - (high - first))),)] for _ in range(draws)]
+    return [("all", judged(np.arange(p))), ("regions", judged(spread(regions))), *((f"random_{i + 1}", judged(spread(w))) for i, w in enumerate(at_random))]

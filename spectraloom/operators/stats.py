@@ -148,6 +148,13 @@ def pca(df: DataFrame, values: str, k: int) -> PCA:
     return PCA.from_moments(*moments(df, values), k)
 
 
+def correlation_radius(n: int, mean: np.ndarray, cov: np.ndarray, first: int = 0, second: int = 1) -> np.ndarray:
+    """By variable the length of its correlations with the scores of two components; 0 for a constant variable."""
+    model, sd = PCA.from_moments(n, mean, cov, max(first, second) + 1), np.sqrt(np.diag(cov))
+    r = model.loadings[:, [first, second]] * np.sqrt(model.eigenvalues[[first, second]]) / np.where(sd > 0, sd, 1)[:, None]
+    return np.where(sd > 0, np.hypot(r[:, 0], r[:, 1]), 0.0)
+
+
 def simca(df: DataFrame, values: str, label: str, variance: float = 0.9) -> dict[str, PCA]:
     """A PCA for each class with at least four rows, with the components that reach `variance`, a third of n at most."""
     out = {}

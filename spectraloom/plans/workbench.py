@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import arrays
-from spectraloom.operators import charts, domain, fusion, models, relational, reliability, screening, signal, tabular
+from spectraloom.operators import blocks, charts, domain, fusion, models, relational, reliability, screening, signal, stats, tabular
 from spectraloom.plans.modelling import folded
 from spectraloom.plans.registry import _HEALTH, _NEAREST, _batches, j12_nearest_class_mean, long, query, rounded, spectra, table
 from spectraloom.plans.validation import _SETS
@@ -321,8 +321,6 @@ def m19_williams(spark, d):
  t AS (SELECT count(*) * var_pop(a) AS taa, count(*) * var_pop(b) AS tbb, count(*) * covar_pop(a, b) AS tab FROM p) SELECT round(1 - (waa * wbb - wab * wab) / (taa * tbb - tab * tab), 6) AS separation FROM w, t""")
 def m20_wilks(spark, d):
     """1 - Wilks' lambda of the classes in the first two variables."""
-    from spectraloom.operators import stats
-
     df = spectra(spark, d).withColumn("v", F.slice("spectrum", 1, 2))
     return spark.createDataFrame([(round(stats.wilks_separation(stats.moments_by(df, "v", "label")), 6),)], "separation double")
 
@@ -452,8 +450,6 @@ def m22_pc_combinations(spark, d):
  SELECT round(sum(power(ma - g, 2)), 5) AS ss_a, round(sum(power(mb - g, 2)), 5) AS ss_b, round(sum(power(mc - ma - mb + g, 2)), 5) AS ss_ab, round(sum(power(x - mc, 2)), 5) AS ss_residual, round(sum(power(x - g, 2)), 5) AS ss_total FROM c JOIN g USING (var_idx) JOIN ma USING (a, var_idx) JOIN mb USING (b, var_idx) JOIN mc USING (a, b, var_idx)""")
 def m35_asca_two_factors(spark, d):
     """Two crossed factors with as many rows in each cell, so that the order of the factors does not matter."""
-    from spectraloom.operators import stats
-
     df = spectra(spark, d).withColumns({"a": F.col("vec_id") % 2, "b": F.floor(F.col("vec_id") / 2) % 5})
     return spark.createDataFrame([{k: round(v, 5) for k, v in stats.asca(df, "spectrum", "a", "b").items()}], "ss_a double, ss_b double, ss_ab double, ss_residual double, ss_total double")
 
@@ -512,3 +508,43 @@ def m42_enrichment_curve(spark, d):
     inst = F.col("vec_id") % 4
     df = folded(spark, d).withColumn("inst", inst).withColumn("spectrum", F.transform("spectrum", lambda x: x * (1 + 0.02 * F.col("inst")) + 0.05 * F.col("inst")))
     return rounded(fusion.enrichment(df, "spectrum", "y", "inst", "vec_id"), "rmse", "sd")
+
+
+@query()
+def m41_pretreatments_by_instrument(spark, d):
+    """Three pretreatments on the four instruments of m40_m42_instruments; gains and offsets go with snv."""
+    inst = F.col("vec_id") % 4
+    df = folded(spark, d).withColumn("inst", inst).withColumn("spectrum", F.transform("spectrum", lambda x: x * (1 + 0.02 * F.col("inst")) + 0.05 * F.col("inst")))
+    out = None
+    for name, f in {"none": lambda c: c, "snv": arrays.snv, "area": arrays.area}.items():
+        part = fusion.instruments(df.withColumn("spectrum", f(F.col("spectrum"))), "spectrum", "y", "inst", "fold").withColumn("pretreatment", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "rmse", "bias")
+
+
+@query()
+def m37_block_shares(spark, d):
+    df = folded(spark, d).withColumns({"a": F.slice("spectrum", 1, 32), "b": F.slice("spectrum", 33, 32)})
+    return rounded(fusion.shares(df, "a", "b", "y"), "share_a", "share_b")
+
+
+@query()
+def m39_transfer_errors(spark, d):
+    """A second instrument that smears, scales and lifts spectra."""
+    smeared = F.transform("spectrum", lambda v, i: 0.1 + 1.05 * (0.8 * v + 0.2 * F.coalesce(F.get("spectrum", i + 1), v)))
+    df = models.folds(spectra(spark, d).withColumn("second", smeared), "vec_id", 5)
+    return rounded(blocks.transfer_errors(df, "second", "spectrum", "fold"), "before", "after")
+
+
+@query()
+def m28_confirm_regions(spark, d):
+    by = fusion.sums_by(folded(spark, d), ["spectrum"], "y", F.col("fold"))
+    return rounded(spark.createDataFrame(fusion.confirm(by, [(0, 7), (30, 37)]), "variables string, rmse double"), "rmse")
+
+
+@query()
+def t3_top_loadings(spark, d):
+    """The 15 variables with the largest correlation radius on the first two components."""
+    radius = stats.correlation_radius(*stats.moments(spectra(spark, d), "spectrum"))
+    top = sorted(range(len(radius)), key=lambda i: (-radius[i], i))[:15]
+    return rounded(spark.createDataFrame([(i, float(radius[i])) for i in top], "var_idx int, radius double"), "radius")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectraloom.operators import fusion, models, reliability, signal
+from spectraloom.operators import blocks, fusion, models, reliability, signal, stats
 
 
 def prominences(s):
@@ -91,3 +91,52 @@ def test_enrichment(spark):
         e = y[test] - y[train].mean() - (x[test] - x[train].mean(0)) @ coef
         assert got[str(k), 0] == pytest.approx((np.sqrt((e**2).mean()), 0.0))
         assert got[str(k), 5][1] > 0
+
+
+@pytest.mark.parametrize("kind", ["offset", "ds", "pds"])
+def test_transfer_errors(spark, kind):
+    x, _, g, df = made(spark)
+    second = 0.9 * x + 0.1 * np.roll(x, 1, axis=1) + 0.3
+    both = df.join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(second)], "id long, w array<double>"), "id")
+    before, after = ((second - x) ** 2).mean() ** 0.5, 0.0
+    for k in range(3):
+        model = blocks.transfer(both.where(f"g <> {k}"), "w", "v", kind)
+        mapped = (second[g == k] - model.mean) @ model.coef + model.intercept
+        after += ((mapped - x[g == k]) ** 2).sum()
+    row = blocks.transfer_errors(both, "w", "v", "g", (kind,)).first()
+    assert tuple(row) == (kind, 120, pytest.approx(before), pytest.approx((after / x.size) ** 0.5, abs=1e-6))
+
+
+def test_shares(spark):
+    x, y, _, df = made(spark)
+    df = df.withColumns({"a": F.slice("v", 1, 3), "b": F.slice("v", 4, 3)})
+    got = {r["strategy"]: (r["share_a"], r["share_b"]) for r in fusion.shares(df, "a", "b", "y", k=3).collect()}
+    coef = np.linalg.lstsq((x - x.mean(0))[:, :3], y - y.mean(), rcond=None)[0]
+    assert got["a"] == (1.0, 0.0) and got["b"] == (0.0, 1.0) and all(sum(v) == pytest.approx(1) for v in got.values())
+    other = np.linalg.lstsq((x - x.mean(0))[:, 3:], y - y.mean(), rcond=None)[0]
+    va, vb = np.var(x[:, :3] @ coef), np.var(x[:, 3:] @ other)
+    assert got["high_level"] == pytest.approx((va / (va + vb), vb / (va + vb)))
+
+
+def test_confirmed_regions_beat_random_ones(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 20))
+    y = x[:, 4] - 2 * x[:, 5] + 0.1 * rng.normal(size=150)
+    df = spark.createDataFrame([(i % 5, float(y[i]), x[i].tolist()) for i in range(150)], "fold int, y double, v array<double>")
+    got = dict(fusion.confirm(fusion.sums_by(df, ["v"], "y", F.col("fold")), [(4, 5)], k=2))
+    error = 0.0
+    for k in range(5):
+        out = np.arange(150) % 5 == k
+        a = np.c_[np.ones(120), x[~out][:, 4:6]]
+        b = np.linalg.lstsq(a, y[~out], rcond=None)[0]
+        error += ((y[out] - np.c_[np.ones(30), x[out][:, 4:6]] @ b) ** 2).sum()
+    assert got["regions"] == pytest.approx((error / 150) ** 0.5) and len(got) == 7
+    assert got["regions"] <= min(v for k, v in got.items() if k.startswith("random"))
+
+
+def test_correlation_radius(spark):
+    x, _, _, df = made(spark)
+    score = stats.pca(df, "v", 2)
+    t = (x - x.mean(0)) @ score.loadings
+    want = [np.hypot(*(np.corrcoef(x[:, j], t[:, i])[0, 1] for i in (0, 1))) for j in range(6)]
+    assert stats.correlation_radius(*stats.moments(df, "v")) == pytest.approx(want)
