@@ -151,7 +151,8 @@ def peaks(df: DataFrame, values: str, *keys: str, share: float = 0.05, top: int
     """(keys…, position, height, prominence, place): the `top` highest maxima of the smoothed values, equals by position.
 
     A maximum is above both neighbours and its prominence at least `share` of the largest smoothed value. Without any, the
-    first largest value is given with a null prominence. Null and empty arrays give no row. No shuffle: an array is one row's.
+    first largest value is given with a null prominence. Null and empty arrays give no row. No shuffle: an array is one row's,
+    and its work is maxima x points, so noisy arrays of tens of thousands of points should be smoothed or cut first.
     """
     x, last = F.col(values), F.size(values) - 1
     smooth = F.transform(x, lambda v, i: (F.get(x, F.greatest(i - 1, F.lit(0))) + v + F.get(x, F.least(i + 1, last))) / 3)
