@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import bpe, chat, decontaminate, langid, media, neardup, resample, secrets, substring, warc
+from spectraloom.llm import bpe, chat, decontaminate, langid, media, neardup, packing, phrases, resample, secrets, substring, warc
 from spectraloom.llm.common import table
 
 
@@ -59,7 +59,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_substring, op3_decontaminate, op4_media, op5_neardup, op6_secrets, op7_quality, op8_chat, op9_warc, op10_langid)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_substring, op3_decontaminate, op4_media, op5_neardup, op6_secrets, op7_quality, op8_chat, op9_warc, op10_langid, op11_phrases, op13_packing)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -97,4 +105,17 @@ WITH p AS (SELECT page_id, regexp_replace(coalesce(url, 'about:blank'), '\\s+',
  u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(page_id || '/' || digest)) AS v FROM b)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to, uri,
  '<urn:uuid:' || substr(v, 1, 8) || '-' || substr(v, 9, 4) || '-5' || substr(v, 14, 3) || '-' || substr('89ab', CAST(CAST('0x' || substr(v, 17, 1) AS BIGINT) % 4 + 1 AS INTEGER), 1) || substr(v, 18, 3) || '-' || substr(v, 21, 12) || '>' AS record_id FROM u""",
+    "op11_phrases": """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?' || chr(10) || chr(11) || chr(12) || chr(13) || chr(9), 'abcdefghijklmnopqrstuvwxyz......... '), '.')) AS piece FROM documents),
+ p AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM d),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM p, range(1, 4) u(k) WHERE len(w) >= k)),
+ f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+ n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+ c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+ x AS (SELECT c.*, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM c, range(1, 3) u(j) WHERE j < k),
+ s AS (SELECT x.lang, x.k, x.phrase, x.a, j, l.a AS l, r.a AS r, CAST((CAST(x.a AS HUGEINT) * x.a * 1000000) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.x JOIN f r ON r.lang = x.lang AND r.phrase = x.y),
+ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ o AS (SELECT lang, array_to_string(w[b:b + 1], ' ') AS phrase, max(a) AS longer FROM c, range(1, 3) u(b) WHERE k = 3 GROUP BY ALL),
+ t AS (SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank, m.phrase, a, l, r, score FROM m LEFT JOIN o ON o.lang = m.lang AND o.phrase = m.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
 }
