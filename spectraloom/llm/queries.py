@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import bpe, chat, decontaminate, langid, media, neardup, packing, phrases, resample, secrets, substring, warc
+from spectraloom.llm import bpe, chat, decontaminate, langid, media, neardup, packing, phrases, resample, secrets, substring, warc, whitening
 from spectraloom.llm.common import table
 
 
@@ -63,11 +63,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_substring, op3_decontaminate, op4_media, op5_neardup, op6_secrets, op7_quality, op8_chat, op9_warc, op10_langid, op11_phrases, op13_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_substring, op3_decontaminate, op4_media, op5_neardup, op6_secrets, op7_quality, op8_chat, op9_warc, op10_langid, op11_phrases, op12_whitening, op13_packing)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
