@@ -5,10 +5,10 @@ Pieces of one length are interchangeable, so the plan needs the lengths' counts
 are numbered within their length and look up their place in a distributed join.
 
 The rule: a piece goes where the sum over all gaps of the squared number of open sequences with
-that gap becomes smallest; equal sums take the smallest gap. Counts beyond BASE - 1 move by powers
-of BASE: while BASE**j pieces of a length are left, so many take the same step at once (into
-equally filled sequences, so the rule compares the same sums). A plan has at most
-capacity * (BASE - 1) steps a power, and small corpora go piece by piece.
+that gap becomes smallest; equal sums take the smallest gap. Lengths with BASE**2 pieces or more move by
+powers of BASE: BASE**j pieces take the same step at once, into as many equally filled sequences, with the largest j
+that leaves BASE steps or more; what remains goes by the smaller powers. So a plan has at most
+capacity * (BASE**2 + BASE * POWERS) steps, and small corpora go piece by piece.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +31,15 @@ from spectraloom.llm.common import arrow_schema, blocks, discard, materialize
 CAPACITY = 4096
 #: The id that closes a document.
 END_ID = 1
-BASE = 64
-#: Powers of BASE that a count of pieces may need: 64**8 is more than any table holds.
-POWERS = 8
-#: Chunks a worker remembers, and the longest it does (bytes).
+BASE = 16
+#: Powers of BASE that a count of pieces may need.
+POWERS = 14
+#: Chunks a worker remembers in each of two generations, and the longest it does (bytes).
 MEMO, LONGEST = 1 << 19, 48
 #: Bytes of new chunks that the library encodes at a time.
 NEW_BYTES = 1 << 18
+#: Bytes of text that are encoded together.
+BLOCK = 1 << 23
 
 _PLAIN = re.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _MARKS = b".,;:!?"
@@ -65,6 +69,7 @@ class Ids:
             self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.words_end = bool(suffix)
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.mark = {m: self._alone([bytes([m])])[0] for m in _MARKS}
 
     def _alone(self, chunks: list[bytes]) -> list[bytes]:
@@ -78,39 +83,55 @@ class Ids:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks; a letter chunk that a single mark ends is worked out without it."""
         words, others, marked = set(), [], []
         for c in new:
             bare = c[:-1] if c[-1] in _MARKS else c
             if self.words_end and bare and _PLAIN.fullmatch(bare.decode()):
-                words.add(bare)
                 if bare is not c:
                     marked.append(c)
+                if bare not in self.memo and bare not in self.old:
+                    words.add(bare)
             else:
                 others.append(c)
-        found: dict[bytes, bytes] = {}
+        found: dict[bytes, bytes] = {b"": b""}
         for work, chunks in ((self._words, list(words)), (self._alone, others)):
             for part in blocks(chunks, len, NEW_BYTES):
                 found.update(zip(part, work(part), strict=True))
         for c in marked:
-            found[c] = found[c[:-1]] + self.mark[c[-1]]
+            bare = c[:-1]
+            found[c] = (found.get(bare) or self.memo.get(bare) or self.old[bare]) + self.mark[c[-1]]
         return found
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers; texts are UTF-8."""
-        chunks = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        found = self._learn(set().union(*chunks).difference(self.memo))
-        self.memo.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
-        memo = self.memo
-
-        def get(c: bytes) -> bytes:
-            return memo[c] if c in memo else found[c]
-
-        few = all(len(c) <= LONGEST for c in found)
-        return [b"".join(map(memo.__getitem__ if few else get, c)) for c in chunks]
+    def _of(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks. Letters of ASCII chunks are lower-cased as the library would, unless a special token may be meant."""
+        plain = [c.lower() if c.isascii() and b"<|" not in c else c for c in chunks]
+        young, old, found = self.memo, self.old, {}
+        for c in plain:
+            ids = young.get(c)
+            if ids is None and (ids := old.get(c)) is not None:
+                young[c] = ids
+            found[c] = ids
+        fresh = self._learn([c for c, ids in found.items() if ids is None and c])
+        found |= fresh
+        young.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
+        if len(young) > MEMO:
+            self.memo, self.old = {}, young
+        return [found[c] for c in plain]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; texts are strings without nulls."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        held = self._of(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        ids, code = np.frombuffer(b"".join(held), "<u4"), coded.indices.to_numpy()
+        count = size[code]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat((np.cumsum(size) - size)[code] - ends[:-1], count) + np.arange(ends[-1])
+        raw, bounds = ids[at].tobytes(), (ends[np.asarray(split.offsets) - split.offsets[0].as_py()] * 4).tolist()
+        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _loaded: dict[str, Ids] = {}
@@ -136,33 +157,40 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             _loaded[key] = Ids(shared.value)
         coder, part, nth = _loaded[key], TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True)
-            for block in blocks(((i, t.as_py() or b"") for i, t in rows), lambda x: len(x[1]), 1 << 21):
+            ids, texts = b.column(0).to_pylist(), b.column(1)
+            sizes = pc.binary_length(texts).to_pylist()
+            for rows in blocks(range(len(ids)), sizes.__getitem__, BLOCK):
+                block = texts.slice(rows[0], len(rows))
                 cols: list[list] = [[] for _ in out]
-                for (doc, _), ids in zip(block, coder.encode([t for _, t in block]), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), wide)):
-                        size = min(wide, len(ids) - at) // 4
-                        for col, v in zip(cols, (doc, k, at // 4, size, zlib.crc32(ids[at : at + wide]), part, nth[size]), strict=True):
+                for row, found in zip(rows, coder.encode(block), strict=True):
+                    found += end
+                    for k, at in enumerate(range(0, len(found), wide)):
+                        size = min(wide, len(found) - at) // 4
+                        for col, v in zip(cols, (ids[row], k, at // 4, size, zlib.crc32(found[at : at + wide]), part, nth[size]), strict=True):
                             col.append(v)
                         nth[size] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
+
+
+#: A step puts BASE**power pieces of a length, the `step`-th so many, into sequences from `first` on.
+STEP = ("length", "power", "step", "first", "offset")
 
 
-def _steps(counts: dict[int, int], capacity: int, order: str, opens: bool) -> tuple[list[tuple], int]:
-    """Steps (length, power, index, sequence_id, offset) and the number of sequences.
+def _steps(counts: dict[int, int], capacity: int, order: str, opens: bool) -> tuple[np.ndarray, int]:
+    """Steps and the number of sequences.
 
     opens: an empty sequence counts among the places whenever its sum is the smallest, else only if
     no open sequence has room.
     """
     open_by_gap: list[list] = [[] for _ in range(capacity + 1)]
     many = np.zeros(capacity + 1, np.int64)
-    steps, used = [], 0
+    steps, used = array("q"), 0
     for power in reversed(range(POWERS)):
         unit = BASE**power
-        items = [(s, i) for s in sorted(counts, reverse=True) for i in range(counts[s] // unit % BASE)]
+        number = {s: c // unit % BASE if c >= unit * BASE**2 else c // unit for s, c in counts.items() if power == 0 or c >= unit * BASE}
+        items = [(s, i) for s in sorted(number, reverse=True) for i in range(number[s])]
         if order == "mixed":  # all but the smallest tenth in a fixed random order
             head = len(items) - len(items) // 10
             items = [items[i] for i in np.random.default_rng(power).permutation(head)] + items[head:]
@@ -189,11 +217,11 @@ def _steps(counts: dict[int, int], capacity: int, order: str, opens: bool) -> tu
             if gap > s:
                 open_by_gap[gap - s].append([first, unit])
                 many[gap - s] += unit
-            steps.append((s, power, i, first, capacity - gap))
-    return steps, used
+            steps.extend((s, power, i, first, capacity - gap))
+    return np.array(steps, np.int64).reshape(-1, len(STEP)), used
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """The steps with the fewest sequences of three runs of the rule: by falling length with new sequences only where none has room,
     and mixed with and without that; the first that reaches the total's lower bound ends the search."""
     least, best = -(-sum(s * c for s, c in counts.items()) // capacity), None
@@ -210,24 +238,23 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and its offset there, from 0 without gaps.
 
     Sequences hold at most `capacity` ids. An empty table gives no rows. Null and repeated doc_ids, null and empty texts: see pieces().
-    A count of pieces of one length must stay below BASE**POWERS.
+    A count of pieces of one length must stay below BASE**(POWERS + 1).
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
     by_task = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     totals = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     steps = plan(totals, capacity)
-    names = ["length", "power", "step", "first", "offset"]
-    columns = np.array(steps, np.int64).reshape(-1, len(names))
-    places = spark.createDataFrame(pa.table({n: pa.array(columns[:, i]) for i, n in enumerate(names)}))
+    places = spark.createDataFrame(pa.table({n: pa.array(steps[:, i]) for i, n in enumerate(STEP)}))
 
     w = Window.partitionBy("length")
     before = by_task.select("part", "length", (F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"), F.sum("n").over(w).alias("total"))
     ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0)))
-    unit = {j: F.lit(BASE**j) for j in range(POWERS + 1)}
-    ends = {j: F.col("total") - F.col("total") % unit[j] for j in range(POWERS + 1)}  # ranks of power j go from ends[j + 1] to ends[j]
-    power = F.coalesce(*(F.when(F.col("rank") < ends[j], F.lit(j)) for j in reversed(range(POWERS)))).cast("long")
-    at = F.coalesce(*(F.when(F.col("power") == j, F.col("rank") - ends[j + 1]) for j in range(POWERS)))
+    unit = {j: F.lit(BASE**j) for j in range(POWERS)}
+    ends = {j: F.col("total") - F.col("total") % unit[j] for j in range(POWERS)}  # ranks of power j end here and begin where those of j + 1 end
+    takes = {j: F.col("total") >= F.lit(BASE ** (j + 1)) if j else F.lit(True) for j in range(POWERS)}
+    power = F.coalesce(*(F.when(takes[j] & (F.col("rank") < ends[j]), F.lit(j)) for j in reversed(range(POWERS)))).cast("long")
+    at = F.coalesce(*(F.when(F.col("power") == j, F.col("rank") - (F.when(takes[j + 1], ends[j + 1]).otherwise(0) if j + 1 < POWERS else F.lit(0))) for j in range(POWERS)))
     size = F.coalesce(*(F.when(F.col("power") == j, unit[j]) for j in range(POWERS)))
     placed = (
         ranked.withColumn("power", power)
