@@ -61,10 +61,18 @@ def regress(train: DataFrame, test: DataFrame, values: str, target: str, kind: s
     return model.transform(features(test, values)).select(*test.columns, F.col("prediction").alias("yhat"))
 
 
+def kmeans(df: DataFrame, values: str, k: int, seed: int = 0):
+    return KMeans(k=k, seed=seed).fit(features(df, values))
+
+
+def nearest(model, df: DataFrame, values: str) -> DataFrame:
+    """df with cluster, the number of the nearest centre."""
+    return model.transform(features(df, values)).withColumnRenamed("prediction", "cluster").drop("features")
+
+
 def clusters(df: DataFrame, values: str, k: int, seed: int = 0) -> DataFrame:
     """df with cluster, by k-means."""
-    rows = features(df, values)
-    return KMeans(k=k, seed=seed).fit(rows).transform(rows).withColumnRenamed("prediction", "cluster").drop("features")
+    return nearest(kmeans(df, values, k, seed), df, values)
 
 
 def grid_search(df: DataFrame, values: str, target: str, estimator, grid: dict[str, list], fold: str, metric: str = "rmse") -> DataFrame:
