@@ -1,7 +1,8 @@
 """Helpers shared by the text operators: shared folders, Arrow maps, word hashing.
 
-Words are runs of bytes other than space and 0x09-0x0D. Their 64-bit hashes are polynomial
-sums over whole numpy blocks, so hashing costs no Python step per word.
+Words are runs of bytes other than space and 0x09-0x0D. Their 64-bit hashes are multilinear
+sums over whole numpy blocks: each place in a word has a random multiplier of its own, so no structure of
+a word makes it collide with another (powers of one base would), and hashing costs no Python step per word.
 """
 
 from __future__ import annotations
@@ -108,13 +109,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int, base: int = _STEP) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,8 +118,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
+def multipliers(n: int) -> np.ndarray:
+    """Random odd multipliers of the first n places; more places continue the same sequence."""
+    return np.random.default_rng(21).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of one base: words of one structure may share a hash, which is no matter where hashes only number a model's buckets."""
+    out = np.full(n, _STEP, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_places: dict[Callable, np.ndarray] = {}
+
+
+def _hash_block(data: np.ndarray, places: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = _SPACE[data]
     edge = space[1:] != space[:-1]
@@ -134,16 +142,16 @@ def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
     lengths = ends - starts
-    if lengths.max() > len(_powers):
-        _powers = powers(int(lengths.max()) * 2)
+    if lengths.max() > len(_places.get(places, ())):
+        _places[places] = places(int(lengths.max()) * 2)
     first = np.cumsum(lengths) - lengths
     inside = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    terms = _BYTE[data[~space[1:-1]]] * _powers[inside]
+    terms = _BYTE[data[~space[1:-1]]] * _places[places][inside]
     sums = np.add.reduceat(terms, first)
     return starts, mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: bytes, places: Callable[[int], np.ndarray] = multipliers) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and 64-bit hashes of the words of data, worked in blocks cut at spaces."""
     whole = np.frombuffer(data, np.uint8)
     starts, hashes, at = [], [], 0
@@ -152,7 +160,7 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         while end < len(whole) and not _SPACE[whole[end]]:
             step = np.flatnonzero(_SPACE[whole[end : end + BLOCK_BYTES]])
             end = end + int(step[0]) if len(step) else min(len(whole), end + BLOCK_BYTES)
-        s, h = _hash_block(whole[at:end])
+        s, h = _hash_block(whole[at:end], places)
         starts.append(s + at)
         hashes.append(h)
         at = end
@@ -161,10 +169,10 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hash_texts(texts: list[bytes], places: Callable[[int], np.ndarray] = multipliers) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts one after another, and each text's first word's index (and the end)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    starts, hashes = hash_words(b" ".join(texts))
+    starts, hashes = hash_words(b" ".join(texts), places)
     return hashes, np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
 
 

@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +27,13 @@ from spectraloom.llm.common import BLOCK_BYTES, blocks, map_arrow
 #: Fixed point: cost units per bit.
 UNIT = 4096
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS, _NOT_ASCII_LETTERS = regex.compile(r"\P{L}+"), re.compile(r"[^a-z]+")
 
 
 def normal(text: str | None) -> bytes:
     """Lower-case letters as UTF-8, every other run as one space; b"" without letters."""
-    out = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    text = (text or "").lower()
+    out = (_NOT_ASCII_LETTERS if text.isascii() else _NOT_LETTERS).sub(" ", text).strip()
     return out.encode() if out else b""
 
 

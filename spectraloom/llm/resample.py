@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import NO_ID, blocks, hash_texts, map_arrow, materialize, mix, own_id
+from spectraloom.llm.common import NO_ID, blocks, hash_texts, map_arrow, materialize, mix, own_id, powers
 
 BUCKETS = 10_000
 #: Labelled target rows the target model is fitted on, at most; their ids (8 bytes each) are broadcast.
@@ -24,7 +24,7 @@ _Q = np.uint64(0x9FB21C651E98DF25)
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and word pairs of the texts, text by text, and where each text's begin (and the end)."""
-    words, cuts = hash_texts(texts)
+    words, cuts = hash_texts(texts, powers)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     owner = np.repeat(np.arange(len(texts)), np.diff(cuts))
@@ -80,6 +80,7 @@ def weigh(docs: DataFrame, model: np.ndarray, seed: int = 3) -> DataFrame:
     source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     found = map_arrow(source, ["doc_id", "text"], "doc_id long, n_grams long, log_weight double", rows)
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    found = found.withColumn("log_weight", F.when(F.col("n_grams") == 0, F.lit(float("-inf"))).otherwise(F.col("log_weight")))
     return found.withColumn("key", F.col("log_weight") - F.log(-F.log(unit)))
 
 
@@ -111,16 +112,16 @@ def top_k(rows: DataFrame, k: int) -> tuple[float, int]:
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_grams, log_weight, key and kept: whether it is in the sample.
 
-    Null and empty texts weigh 0. Rows that repeat a doc_id share their noise. Of rows with
+    Texts without n-grams (null, empty, white space) have the weight 0, log_weight -Infinity, and are never kept. Rows that repeat a doc_id share their noise. Of rows with
     exactly the last key that fits, those are kept whose doc_id is least. Without labels, nothing is preferred and all rows are kept.
     """
     known = labels.agg(F.count(F.when(F.col("quality").isNotNull(), 1)).alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("good")).first()
     share = known["good"] / known["n"] if known["n"] else 1.0
     rows = materialize(weigh(docs, fit(docs, labels)), "weights")
-    n = rows.count()
-    k = round(n * share)
-    last, room = top_k(rows, k)
-    ties = rows.where(F.col("key") == last).select("doc_id") if room else None
+    held = rows.where(F.col("n_grams") > 0)
+    k = round(held.count() * share)
+    last, room = top_k(held, k)
+    ties = held.where(F.col("key") == last).select("doc_id") if room else None
     kept = F.col("key") > last
     if room:
         # ties share a key only by repeating a doc_id or by chance: the doc_id that still fits is found by counting
@@ -129,4 +130,5 @@ def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
             kept = kept | ((F.col("key") == last) & (F.col("doc_id") <= counts))
         else:
             kept = kept | (F.col("key") == last)
+    kept = kept & (F.col("n_grams") > 0)
     return rows.select(own_id(), "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"), kept.alias("kept"))

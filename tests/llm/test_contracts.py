@@ -162,6 +162,24 @@ def test_html_sequence():
     assert media.sequence(None) == [] and media.sequence("<p></p>") == []
 
 
+def thue_morse(n):
+    """Two words of 2**n letters whose polynomial sums agree modulo 2**64 for every odd base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_one_structure_do_not_collide(spark):
+    one, other = thue_morse(10)
+    start = " ".join(f"word{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{start} {one}"), (2, f"{start} {other}"), (3, one), (4, other)], "doc_id long, text string")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert {r["doc_id"]: r["n_removed"] for r in substring.dedup(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(df, size=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4} and rows[2][1] != rows[3][1]
+
+
 def brute_links(rows, size=2, percent=80):
     sets = []
     for r in rows:
@@ -317,10 +335,12 @@ def test_op7_weights_are_log_ratios_of_hashed_models(spark, sf_dir):
 
 def test_op7_edges(odd, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert all(r["kept"] for r in resample.select(odd, none).collect())
+    assert all(r["kept"] == (r["n_grams"] > 0) for r in resample.select(odd, none).collect())
     some = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (None, 1, None), (2, None, None)], "doc_id long, quality int, toxic int")
     got = resample.select(odd, some).collect()
-    assert len(got) == odd.count() and sum(r["kept"] for r in got) >= round(len(got) * 2 / 3)
+    worded = [r for r in got if r["n_grams"]]
+    assert len(got) == odd.count() and sum(r["kept"] for r in worded) >= round(len(worded) * 2 / 3)
+    assert len(worded) == len(got) - 3 and not any(r["kept"] or r["log_weight"] != float("-inf") for r in got if not r["n_grams"])
 
 
 def test_top_k_is_exact(spark):
@@ -427,6 +447,15 @@ def test_op10_edges(odd):
     assert langid.keep_identified(blank).where("doc_id = 1").count() == 1
 
 
+def test_op10_numbers_are_no_letters(spark):
+    rows = [(i, f"the word number {i} of a text in english with letters", "en") for i in range(40)]
+    odd = {100: "½ ²", 101: "Ⅷ", 102: "٣ 12", 103: "一"}
+    df = spark.createDataFrame([*rows, *[(i, t, None) for i, t in odd.items()]], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    assert {got[i][0] for i in (100, 101, 102)} == {"und"} and got[103][0] != "und" and got[0][0] == "en"
+    assert {r.doc_id for r in langid.keep_identified(df).collect()} >= set(range(40)) and langid.keep_identified(df).where("doc_id in (100, 101, 102)").count() == 0
+
+
 def test_op10_costs_are_code_lengths(spark):
     """The tables against PPM written out for one context at a time."""
     import math
