@@ -73,30 +73,40 @@ def opls(df: DataFrame, values: str, target: str, orthogonal: int) -> OPLS:
 # ---- calibration transfer -----------------------------------------------------------------
 
 
-def transfer(df: DataFrame, secondary: str, master: str, kind: str = "pds", half: int = 2, rcond: float = 1e-3) -> Linear:
+def transfer(df: DataFrame, secondary: str, master: str, kind: str = "pds", half: int = 5, rcond: float = 1e-3, rank: int | None = None) -> Linear:
     """Maps spectra of a second instrument onto the master's, from rows that hold both (Wang, Veltkamp & Kowalski, 1991).
 
-    offset: mean difference; ds: one regression on all variables; pds: one on `half` neighbours at each side.
+    offset: mean difference; ds: one regression on all variables; pds: one on `half` neighbours at each side. Regressions leave out
+    singular values of the spectra below rcond times the largest, and all but the first `rank`.
     """
-    return _mapping(*moments(df.select(_joined(F.col(secondary), F.col(master)).alias("v")), "v")[1:], kind, half, rcond)
+    return _mapping(*moments(df.select(_joined(F.col(secondary), F.col(master)).alias("v")), "v")[1:], kind, half, rcond, rank)
 
 
-def _mapping(mean: np.ndarray, cov: np.ndarray, kind: str, half: int, rcond: float) -> Linear:
+def _truncated(cov: np.ndarray, rcond: float, rank: int | None) -> np.ndarray:
+    """Inverse of a covariance on its leading eigenvectors; eigenvalues are squares of singular values."""
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = int((values > max(rcond**2 * values[0], 0)).sum())
+    k = min(k, rank) if rank else k
+    return (vectors[:, :k] / values[:k]) @ vectors[:, :k].T
+
+
+def _mapping(mean: np.ndarray, cov: np.ndarray, kind: str, half: int, rcond: float, rank: int | None = None) -> Linear:
     """transfer() from the moments of both spectra side by side."""
     p = len(mean) // 2
     ss, sm = cov[:p, :p], cov[:p, p:]
     coef = np.eye(p)
     if kind == "ds":
-        coef = np.linalg.pinv(ss, rcond=rcond, hermitian=True) @ sm
+        coef = _truncated(ss, rcond, rank) @ sm
     elif kind == "pds":
         coef = np.zeros((p, p))
         for j in range(p):
             near = np.arange(max(0, j - half), min(p, j + half + 1))
-            coef[near, j] = np.linalg.pinv(ss[np.ix_(near, near)], rcond=rcond, hermitian=True) @ sm[near, j]
+            coef[near, j] = _truncated(ss[np.ix_(near, near)], rcond, rank) @ sm[near, j]
     return Linear(mean[:p], coef, mean[p:])
 
 
-def transfer_errors(df: DataFrame, secondary: str, master: str, group: str, kinds: tuple[str, ...] = ("offset", "ds", "pds"), half: int = 2, rcond: float = 1e-3) -> DataFrame:
+def transfer_errors(df: DataFrame, secondary: str, master: str, group: str, kinds: tuple[str, ...] = ("offset", "ds", "pds"), half: int = 5, rcond: float = 1e-3, rank: int | None = None) -> DataFrame:
     """(kind, n, before, after): root mean squares of the differences to the master, each group mapped by a fit to all others.
 
     One pass sums the moments of each group (few); errors of a linear map follow from them.
@@ -114,7 +124,7 @@ def transfer_errors(df: DataFrame, secondary: str, master: str, group: str, kind
         for n, s, q in sums.values():
             rest, p = n_all - n, len(s) // 2
             mean = (s_all - s) / rest
-            fit = _mapping(mean, (q_all - q - rest * np.outer(mean, mean)) / max(1, rest - 1), kind, half, rcond)
+            fit = _mapping(mean, (q_all - q - rest * np.outer(mean, mean)) / max(1, rest - 1), kind, half, rcond, rank)
             before += squares(np.vstack([np.eye(p), -np.eye(p)]), np.zeros(p), n, s, q)
             after += squares(np.vstack([fit.coef, -np.eye(p)]), mean[:p] @ fit.coef - mean[p:], n, s, q)
         out.append((kind, int(n_all), *(float(np.sqrt(max(0.0, x) / (n_all * p))) for x in (before, after))))

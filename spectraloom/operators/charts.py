@@ -94,12 +94,24 @@ def westgard(rows: DataFrame, *keys: str) -> DataFrame:
     return _own(_with_halo(rows, 9).withColumns(rules))
 
 
-def health(batches: DataFrame, order: str) -> DataFrame:
-    """Adds status to batches (drift, outside in %): reference for the first, retrain, watch or ok for the others."""
+def health(batches: DataFrame, order: str, metrics: list[str], baseline: int = 5) -> DataFrame:
+    """Adds cusum and status to batches (a row each, with their metrics and outside, the % of rows outside the domain).
+
+    cusum is the largest one-sided CUSUM over the metrics, each standardised by the first `baseline` batches (slack 0.5; a deviation of
+    5 % of their mean at least). Those batches are the reference; the others are to retrain, to watch or ok.
+    """
     w = Window.orderBy(order)  # one row a batch
+    out = batches.withColumn("_i", F.row_number().over(w))
+    early = lambda f, m: f(F.when(F.col("_i") <= baseline, F.col(m))).over(Window.partitionBy())
+    for m in metrics:
+        mean = early(F.avg, m)
+        sd = F.greatest(F.coalesce(early(F.stddev_samp, m), F.lit(0.0)), 0.05 * F.greatest(F.abs(mean), F.lit(1e-9)), F.lit(1e-9))
+        out = out.withColumn(f"_z_{m}", (F.col(m) - mean) / sd - 0.5).withColumn(f"_s_{m}", F.sum(f"_z_{m}").over(w))
+        out = out.withColumn(f"_c_{m}", F.col(f"_s_{m}") - F.least(F.lit(0.0), F.min(f"_s_{m}").over(w)))
+    drift = F.greatest(*[F.col(f"_c_{m}") for m in metrics]) if len(metrics) > 1 else F.col(f"_c_{metrics[0]}")
     worst = (F.col("outside") > 25) & (F.lag("outside").over(w) > 25)
-    status = F.when(F.row_number().over(w) == 1, "reference").when((F.col("drift") > 5) | F.coalesce(worst, F.lit(False)), "retrain").when((F.col("drift") > 2.5) | (F.col("outside") > 10), "watch").otherwise("ok")
-    return batches.withColumn("status", status)
+    status = F.when(F.col("_i") <= baseline, "reference").when((drift > 5) | F.coalesce(worst, F.lit(False)), "retrain").when((drift > 2.5) | (F.col("outside") > 10), "watch").otherwise("ok")
+    return out.withColumn("status", status).withColumn("cusum", drift).select(*batches.columns, "cusum", "status")
 
 
 def status(rows: DataFrame, distance: Column, warn: float, act: float) -> DataFrame:

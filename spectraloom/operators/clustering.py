@@ -11,7 +11,7 @@ are no more, else k-means centres with the number of their rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,29 +65,38 @@ def _forest(one: np.ndarray, other: np.ndarray | None) -> Iterator[tuple[int, in
         yield near[at], at, float(least[at])
 
 
-def candidate_edges(df: DataFrame, key: str, values: str) -> DataFrame:
-    """EDGES that hold a minimum spanning tree of the rows' Euclidean distances; keys must be distinct."""
+def cells(df: DataFrame, key: str, values: str, f: Callable) -> DataFrame:
+    """EDGES that f finds in each block of rows and in each pair of blocks: f(ids, points, ids and points of the other block or None) -> (a, b, distance)."""
     blocks = written(_dealt(df, key, values), "blocks")
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, points, more, others in zip(*(batch[c] for c in ("ids", "points", "more", "others")), strict=True):
-                found = list(_forest(points.reshape(len(ids), -1), others.reshape(len(more), -1) if more is not None else None))
-                ids = np.concatenate([ids, more]) if more is not None else ids
+                found = f(ids, points.reshape(len(ids), -1), more, others.reshape(len(more), -1) if more is not None else None)
                 if found:
                     a, b, d = (np.array(c) for c in zip(*found, strict=True))
-                    yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "distance": d})
+                    yield pd.DataFrame({"a": a, "b": b, "distance": d})
 
     own = blocks.select("ids", "points", F.lit(None).cast("array<long>").alias("more"), F.lit(None).cast("array<double>").alias("others"))
     right = blocks.select(F.col("block").alias("with"), F.col("ids").alias("more"), F.col("points").alias("others"))
     numbers = blocks.select("block")
     pairs = numbers.join(F.broadcast(numbers.withColumnRenamed("block", "with")), F.col("block") < F.col("with"))  # n / BLOCK numbers
     both = pairs.repartition("block", "with").join(blocks, "block").join(right, "with").select("ids", "points", "more", "others")
-    out = written(own.unionAll(both).mapInPandas(cells, EDGES), "edges")
+    out = written(own.unionAll(both).mapInPandas(run, EDGES), "edges")
     dropped(blocks)
     return out
 
 
+def candidate_edges(df: DataFrame, key: str, values: str) -> DataFrame:
+    """EDGES that hold a minimum spanning tree of the rows' Euclidean distances; keys must be distinct."""
+
+    def spanning(ids, points, more, others):
+        names = ids if more is None else np.concatenate([ids, more])
+        return [(min(names[a], names[b]), max(names[a], names[b]), d) for a, b, d in _forest(points, others)]
+
+    return cells(df, key, values, spanning)
+
+
 def forest(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Borůvka: the minimum spanning forest of `edges` (a, b, distance) and (id, component) of `nodes` (id); a component is named by its smallest id.
 

@@ -24,7 +24,7 @@ class Distance:
 
     @staticmethod
     def of(mean: float, variance: float) -> Distance:
-        dof = 2 * mean * mean / variance if variance > 0 else 1.0
+        dof = 2 * mean * mean / variance if variance and variance > 0 else 1.0
         return Distance(max(mean, 1e-300), int(min(100, max(1, round(dof)))))
 
     def limit(self, alpha: float) -> float:
@@ -58,12 +58,12 @@ def components_for(m: PCA, variance: float) -> int:
     return int(np.searchsorted(np.cumsum(m.all_eigenvalues) / max(m.all_eigenvalues.sum(), 1e-300), variance - 1e-12)) + 1
 
 
-def fit(df: DataFrame, values: str, variance: float = 0.95, stats: tuple | None = None) -> Domain:
-    """Components that reach `variance`, a third of n at most; one pass for moments, one for the distances' mean and variance."""
+def fit(df: DataFrame, values: str, variance: float = 0.95, stats: tuple | None = None, least: int = 2, most: int = 15) -> Domain:
+    """Components that reach `variance`, within `least` and `most` and n - 2; one pass for moments, one for the distances' mean and variance."""
     n, mean, cov = stats or moments(df, values)
     whole = PCA.from_moments(n, mean, cov, len(mean))
-    model = PCA.from_moments(n, mean, cov, max(1, min(components_for(whole, variance), n // 3)))
-    r = model.scored(df, values).agg(F.avg("t2").alias("h"), F.var_pop("t2").alias("vh"), F.avg("q").alias("q"), F.var_pop("q").alias("vq")).first()
+    model = PCA.from_moments(n, mean, cov, max(1, least, min(components_for(whole, variance), most, n - 2, len(mean))))
+    r = model.scored(df, values).agg(F.avg("t2").alias("h"), F.var_samp("t2").alias("vh"), F.avg("q").alias("q"), F.var_samp("q").alias("vq")).first()
     return Domain(model, Distance.of(r["h"], r["vh"]), Distance.of(r["q"], r["vq"]))
 
 
@@ -76,7 +76,7 @@ def acceptance_curve(domain: Domain, df: DataFrame, values: str, alphas: list[fl
 
 def class_models(df: DataFrame, values: str, label: str, variance: float = 0.9, least: int = 4) -> dict[object, Domain]:
     """A Domain for each class with at least `least` rows. Classes are few; moments of all come from one pass."""
-    return {c: fit(df.where(F.col(label) == c), values, variance, stats) for c, stats in moments_by(df, values, label).items() if stats[0] >= least}
+    return {c: fit(df.where(F.col(label) == c), values, variance, stats, 1, max(1, stats[0] // 3)) for c, stats in moments_by(df, values, label).items() if stats[0] >= least}
 
 
 def accepted(df: DataFrame, values: str, key: str, models: dict[object, Domain], alpha: float = 0.05, *keep: str) -> DataFrame:

@@ -53,32 +53,41 @@ def consensus(rows: DataFrame, key: str, a: str, b: str, top: float = 0.75) -> D
 
 
 def peak(rows: DataFrame, low: int, high: int, *keys: str, axis: str = "var_idx") -> DataFrame:
-    """Of the window [low, high] of an axis: height, position (first on ties), centroid of |x| and trapezoid area; base: the 5th percentile of all x."""
+    """Of the window [low, high] of an axis, after its own 5th percentile is taken off: height, position (first on ties), centroid and
+    trapezoid area; base: the 5th percentile of all x. A flat window's centroid is its position; a window of fewer than three points has nulls."""
     inside = F.col(axis).between(low, high)
     w = Window.partitionBy(*keys).orderBy(axis)
-    step = F.when(F.lag(axis).over(w) >= low, (F.col(axis) - F.lag(axis).over(w)) * (F.col("x") + F.lag("x").over(w)) / 2)
+    back, was = F.col(axis) - F.lag(axis).over(w), F.lag(axis).over(w) >= low
     x, at = F.when(inside, F.col("x")), F.when(inside, F.col(axis))
-    return rows.withColumn("_step", F.when(inside, step)).groupBy(*keys).agg(
-        F.max(x).alias("height"),
+    found = rows.withColumns({"_step": F.when(inside & was, back * (F.col("x") + F.lag("x").over(w)) / 2), "_wide": F.when(inside & was, back)}).groupBy(*keys).agg(
+        F.count(x).alias("_n"), F.percentile(x, F.lit(0.05)).alias("_b"), F.max(x).alias("_m"), F.sum(x * at).alias("_xi"), F.sum(F.when(x.isNotNull(), at)).alias("_i"), F.sum(x).alias("_x"), F.sum("_step").alias("_area"), F.sum("_wide").alias("_wide"),
         F.max(F.when(inside, F.struct(F.col("x"), (-F.col(axis)).alias("i")))).alias("_top"),
-        F.try_divide(F.sum(F.abs(x) * at), F.sum(F.abs(x))).alias("centroid"),
-        F.sum("_step").alias("area"),
         F.percentile("x", F.lit(0.05)).alias("base"),
-    ).select(*keys, "height", (-F.col("_top.i")).alias("position"), "centroid", "area", "base")
+    )
+    b, mass, position = F.col("_b"), F.col("_x") - F.col("_b") * F.col("_n"), -F.col("_top.i")
+    enough = lambda c: F.when(F.col("_n") >= 3, c)
+    return found.select(
+        *keys,
+        enough(F.col("_m") - b).alias("height"),
+        enough(position).alias("position"),
+        enough(F.when(mass > 0, (F.col("_xi") - b * F.col("_i")) / mass).otherwise(position.cast("double"))).alias("centroid"),
+        enough(F.col("_area") - b * F.col("_wide")).alias("area"),
+        "base",
+    )
 
 
 def noise(df: DataFrame, values: str, n: int, *keys: str, low: int, high: int) -> DataFrame:
-    """(keys…, noise, snr): the deviation of the spectrum from its Savitzky-Golay smoothing (11 points, degree 2), and the window's height over the 5th percentile by it.
+    """(keys…, noise, snr): the deviation of the spectrum from its Savitzky-Golay smoothing (11 points, degree 2), and the window's height over its own 5th percentile by it.
 
     snr is null where the noise is 0. A spectrum is one row; nothing is shuffled.
     """
     both = savgol(df.select(*keys, values, F.col(values).alias("_smooth")), "_smooth", n, 11, 2)
     rest = both.withColumn("noise", arrays.sd_pop(F.zip_with(values, "_smooth", lambda a, b: a - b)))
-    sorted_x = F.array_sort(values)
-    at = 0.05 * (n - 1)
-    under = F.get(sorted_x, F.lit(int(at)))
-    base = under + (F.get(sorted_x, F.lit(min(int(at) + 1, n - 1))) - under) * (at - int(at))
-    height = F.array_max(F.slice(values, low + 1, high - low + 1)) - base
+    window = F.array_sort(F.slice(values, low + 1, high - low + 1))
+    at = 0.05 * (high - low)
+    under = F.get(window, F.lit(int(at)))
+    base = under + (F.get(window, F.lit(min(int(at) + 1, high - low))) - under) * (at - int(at))
+    height = F.array_max(window) - base
     return rest.select(*keys, "noise", F.when(F.col("noise") > 0, height / F.col("noise")).alias("snr"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectraloom.operators import clustering, fusion, kernels, models, search, selection, screening, windows
+from spectraloom.operators import clustering, fusion, kernels, models, sampling, search, selection, screening, windows
 from spectraloom.plans.modelling import folded
 from spectraloom.plans.registry import query, rounded, spectra
 
@@ -107,3 +107,29 @@ def v6_tpe(spark, d):
 @query()
 def v6_random(spark, d):
     return search.drawn(spark, SPACE, _objective(spark, d), 8).select("trial", F.to_json("params").alias("params"), "score")
+
+
+# ---- representative rows ------------------------------------------------------------------
+
+
+@query()
+def t10_m30_kennard_stone(spark, d):
+    """A hundred rows in the order of their choice."""
+    return sampling.farthest(spectra(spark, d), "vec_id", "spectrum", 100)
+
+
+@query()
+def m30_spxy(spark, d):
+    return sampling.farthest(folded(spark, d), "vec_id", "spectrum", 100, "y")
+
+
+@query()
+def m31_coverage(spark, d):
+    """Distance of every other row to the nearest of fifty chosen by their first five principal components."""
+    return rounded(sampling.coverage(spectra(spark, d), "vec_id", "spectrum", 50)[1], "distance", digits=5)
+
+
+@query()
+def v4_kennard_stone_split(spark, d):
+    """A fifth of each class held out."""
+    return sampling.split(spectra(spark, d), "vec_id", "spectrum", 0.2, "label").select("vec_id", "label", "held_out")

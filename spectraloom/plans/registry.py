@@ -185,13 +185,15 @@ def _batches(spark, d):
 
 
 _HEALTH = """WITH {DAY}, first AS (SELECT d FROM day GROUP BY 1 ORDER BY 1 LIMIT 5), ref AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM day WHERE d IN (SELECT d FROM first) GROUP BY 1),
- b AS (SELECT d, avg(abs(value - m) / s) AS drift, 100.0 * avg(CASE WHEN abs(value - m) > 2 * s THEN 1.0 ELSE 0.0 END) AS outside FROM day JOIN ref USING (event_type) GROUP BY 1)
- SELECT CAST(d AS VARCHAR) AS day, CASE WHEN row_number() OVER (ORDER BY d) = 1 THEN 'reference' WHEN drift > 5 OR coalesce(outside > 25 AND lag(outside) OVER (ORDER BY d) > 25, false) THEN 'retrain' WHEN drift > 2.5 OR outside > 10 THEN 'watch' ELSE 'ok' END AS status FROM b"""
+ b AS (SELECT d, avg(abs(value - m) / s) AS drift, 100.0 * avg(CASE WHEN abs(value - m) > 2 * s THEN 1.0 ELSE 0.0 END) AS outside FROM day JOIN ref USING (event_type) GROUP BY 1),
+ n AS (SELECT *, row_number() OVER (ORDER BY d) AS i FROM b), m AS (SELECT avg(drift) AS mu, greatest(coalesce(stddev_samp(drift), 0), 0.05 * greatest(abs(avg(drift)), 1e-9), 1e-9) AS sd FROM n WHERE i <= 5),
+ s AS (SELECT n.*, sum((drift - mu) / sd - 0.5) OVER (ORDER BY d) AS s FROM n, m), c AS (SELECT *, s - least(0, min(s) OVER (ORDER BY d)) AS c FROM s)
+ SELECT CAST(d AS VARCHAR) AS day, round(c, 5) AS cusum, CASE WHEN i <= 5 THEN 'reference' WHEN c > 5 OR coalesce(outside > 25 AND lag(outside) OVER (ORDER BY d) > 25, false) THEN 'retrain' WHEN c > 2.5 OR outside > 10 THEN 'watch' ELSE 'ok' END AS status FROM c"""
 
 
 @query(_HEALTH)
 def w4_health(spark, d):
-    return charts.health(_batches(spark, d), "day").select(F.col("day").cast("string").alias("day"), "status")
+    return charts.health(_batches(spark, d), "day", ["drift"]).select(F.col("day").cast("string").alias("day"), F.round("cusum", 5).alias("cusum"), "status")
 
 
 @query("SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS sd, round(min(o_totalprice), 4) AS best FROM orders GROUP BY 1, 2")

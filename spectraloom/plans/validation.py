@@ -62,11 +62,11 @@ def m46_conformal_sets(spark, d):
     return sets.select("vec_id", F.size("classes").cast("long").alias("size"), F.array_join(F.transform("classes", lambda c: c.cast("string")), ",").alias("classes"))
 
 
-@query("""WITH {LONG}, s AS (SELECT *, (var_idx - lag(var_idx) OVER w) * (x + lag(x) OVER w) / 2 AS step, lag(var_idx) OVER w AS was FROM long WINDOW w AS (PARTITION BY vec_id ORDER BY var_idx))
- SELECT vec_id, round(max(x) FILTER (var_idx BETWEEN 20 AND 40), 6) AS height, CAST(arg_max(var_idx, (x, -var_idx)) FILTER (var_idx BETWEEN 20 AND 40) AS INTEGER) AS position,
- round(sum(abs(x) * var_idx) FILTER (var_idx BETWEEN 20 AND 40) / sum(abs(x)) FILTER (var_idx BETWEEN 20 AND 40), 6) AS centroid, round(sum(step) FILTER (var_idx BETWEEN 20 AND 40 AND was >= 20), 6) AS area, round(quantile_cont(x, 0.05), 6) AS base FROM s GROUP BY 1""")
+@query("""WITH {LONG}, s AS (SELECT *, (var_idx - lag(var_idx) OVER w) * (x + lag(x) OVER w) / 2 AS step, lag(var_idx) OVER w AS was FROM long WINDOW w AS (PARTITION BY vec_id ORDER BY var_idx)),
+ g AS (SELECT vec_id, quantile_cont(x, 0.05) AS b, max(x) AS m, arg_max(var_idx, (x, -var_idx)) AS position, sum(x * var_idx) AS xi, sum(var_idx) AS i, sum(x) AS x, count(*) AS n, sum(step) FILTER (was >= 20) AS area FROM s WHERE var_idx BETWEEN 20 AND 40 GROUP BY 1), q AS (SELECT vec_id, quantile_cont(x, 0.05) AS base FROM s GROUP BY 1)
+ SELECT vec_id, round(m - b, 6) AS height, CAST(position AS INTEGER) AS position, round((xi - b * i) / (x - b * n), 5) AS centroid, round(area - b * 20, 6) AS area, round(base, 6) AS base FROM g JOIN q USING (vec_id)""")
 def m51_peak_metrics(spark, d):
-    return rounded(reliability.peak(long(spark, d), 20, 40, "vec_id"), "height", "centroid", "area", "base")
+    return rounded(reliability.peak(long(spark, d), 20, 40, "vec_id"), "height", "area", "base").withColumn("centroid", F.round("centroid", 5))
 
 
 @query("SELECT o_totalprice AS price, round(sum(n) OVER (ORDER BY o_totalprice), 0) AS upto FROM (SELECT o_totalprice, count(*) AS n FROM orders GROUP BY 1)")

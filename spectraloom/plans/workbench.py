@@ -284,10 +284,10 @@ def m26_consensus(spark, d):
 # ---- charts and judgements ----------------------------------------------------------------------
 
 
-@query(_HEALTH.replace("SELECT CAST(d AS VARCHAR) AS day, CASE", ", st AS (SELECT d, CASE").replace("AS status FROM b", "AS status FROM b)").replace("FROM day JOIN ref USING (event_type) GROUP BY 1)\n , st", "FROM day JOIN ref USING (event_type) GROUP BY 1), st") + " SELECT count(*) = 3 AND bool_and(status NOT IN ('ok', 'reference')) AS alarm, count(*) AS runs FROM (SELECT * FROM st ORDER BY d DESC LIMIT 3)")
+@query(f"SELECT count(*) = 3 AND bool_and(status NOT IN ('ok', 'reference')) AS alarm, count(*) AS runs FROM (SELECT * FROM ({_HEALTH}) ORDER BY day DESC LIMIT 3)")
 def w5_last_runs(spark, d):
     """Whether the last three batches are all out of order."""
-    last = charts.health(_batches(spark, d), "day").orderBy(F.desc("day")).limit(3)
+    last = charts.health(_batches(spark, d), "day", ["drift"]).orderBy(F.desc("day")).limit(3)
     bad = F.bool_and(~F.col("status").isin("ok", "reference"))
     return last.agg(((F.count("*") == 3) & bad).alias("alarm"), F.count("*").alias("runs"))
 
@@ -478,7 +478,7 @@ def p21_peaks(spark, d):
 
 @query("""WITH {LONG}, c AS (SELECT *, least(greatest(var_idx, 5), 58) AS c FROM long),
  r AS (SELECT a.vec_id, a.var_idx, a.x - sum(b.x * (1 / 11.0::DOUBLE + (a.var_idx - a.c) * (b.var_idx - a.c) / 110.0::DOUBLE + (power(a.var_idx - a.c, 2) - 10) * (power(b.var_idx - a.c, 2) - 10) / 858.0::DOUBLE)) AS e FROM c a JOIN long b ON a.vec_id = b.vec_id AND b.var_idx BETWEEN a.c - 5 AND a.c + 5 GROUP BY a.vec_id, a.var_idx, a.x),
- n AS (SELECT vec_id, stddev_pop(e) AS noise FROM r GROUP BY 1), h AS (SELECT vec_id, max(x) FILTER (var_idx BETWEEN 20 AND 40) - quantile_cont(x, 0.05) AS height FROM long GROUP BY 1)
+ n AS (SELECT vec_id, stddev_pop(e) AS noise FROM r GROUP BY 1), h AS (SELECT vec_id, max(x) - quantile_cont(x, 0.05) AS height FROM long WHERE var_idx BETWEEN 20 AND 40 GROUP BY 1)
  SELECT vec_id, round(noise, 6) AS noise, round(height / noise, 5) AS snr FROM n JOIN h USING (vec_id)""")
 def m51_noise(spark, d):
     out = reliability.noise(spectra(spark, d), "spectrum", 64, "vec_id", low=20, high=40)
