@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions import arrays
+from spectraloom.operators.fusion import Sums, _all
 from spectraloom.operators.models import Linear
 from spectraloom.operators.signal import map_matrix
 from spectraloom.operators.stats import moments, moments_by
@@ -34,6 +35,13 @@ class OPLS:
     slope: float
     intercept: float
 
+    def coefficients(self) -> np.ndarray:
+        """Of the centred values, filters included."""
+        out = self.weight * self.slope
+        for w, p in reversed(self.filters):
+            out = out - w * (p @ out)
+        return out
+
     def scored(self, df: DataFrame, values: str) -> DataFrame:
         """Adds opls: the predictive score, the prediction, then the orthogonal scores."""
 
@@ -51,7 +59,11 @@ class OPLS:
 
 def opls(df: DataFrame, values: str, target: str, orthogonal: int) -> OPLS:
     """Stops early where nothing orthogonal is left."""
-    _, mean, cov = moments(df.select(_joined(F.col(values), F.array(target)).alias("v")), "v")
+    return opls_of(*moments(df.select(_joined(F.col(values), F.array(target)).alias("v")), "v")[1:], orthogonal)
+
+
+def opls_of(mean: np.ndarray, cov: np.ndarray, orthogonal: int) -> OPLS:
+    """opls() from the moments of values and target side by side."""
     p = len(mean) - 1
     xx, xy = cov[:p, :p].copy(), cov[:p, p].copy()
     filters: list[tuple[np.ndarray, np.ndarray]] = []
@@ -70,6 +82,18 @@ def opls(df: DataFrame, values: str, target: str, orthogonal: int) -> OPLS:
     return OPLS(mean[:p], filters, w, float(w @ xy / max(w @ xx @ w, 1e-300)), float(mean[p]))
 
 
+def opls_curve(by: dict[str, Sums], most: int = 5) -> list[tuple[int, float, float]]:
+    """(orthogonal components, q2, r2) for 0 to `most`, from sums by fold: each fold by a model of the others, and the fit to all rows."""
+    total = _all(list(by.values()))
+    spread = max(total.q[-1, -1] - total.s[-1] ** 2 / total.n, 1e-300)
+    out = []
+    for k in range(most + 1):
+        error = lambda fit, judged: judged.errors(fit[0], opls_of(*fit, k).coefficients())[0]  # noqa: E731, B023
+        press = sum(error((total - own).centred(), own) for own in by.values())
+        out.append((k, float(1 - press / spread), float(1 - error(total.centred(), total) / spread)))
+    return out
+
+
 # ---- calibration transfer -----------------------------------------------------------------
 
 

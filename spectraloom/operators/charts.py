@@ -17,15 +17,15 @@ BLOCK = 1 << 16
 def baseline(rows: DataFrame, value: str, order: list[str], first: int, *keys: str) -> DataFrame:
     """Adds n (1-based place), mu and sd of the first `first` rows, and z.
 
-    A series is numbered range by range of its first order column: counts of ranges plus places in a range.
+    A null key is a series like any other. A series is numbered range by range of its first order column: counts of ranges plus places in a range.
     """
     ranged = relational.in_ranges(rows, order[0])
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     base = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_c")).select(*keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n"))
-    out = ranged.join(base, [*keys, "_part"]).withColumn("n", F.col("_n") + F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    out = relational.matched(ranged, base, *keys, "_part").withColumn("n", F.col("_n") + F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
     out = out.select(*rows.columns, "n")
     ref = out.where(F.col("n") <= first).groupBy(*keys).agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"))
-    out = out.join(ref, list(keys)) if keys else out.crossJoin(F.broadcast(ref))  # one row
+    out = relational.matched(out, ref, *keys) if keys else out.crossJoin(F.broadcast(ref))  # one row
     sd = F.greatest(F.coalesce("sd", F.lit(0.0)), 0.05 * F.abs("mu"), F.lit(1e-9))
     return out.withColumn("z", (F.col(value) - F.col("mu")) / sd)
 
@@ -61,7 +61,7 @@ def cusum(rows: DataFrame, *keys: str, slack: float = 0.5) -> DataFrame:
     blocks = inside.groupBy(*keys, "_block").agg(F.sum(F.col("z") - slack).alias("_total"), F.min("_s").alias("_min"))
     blocks = blocks.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
     blocks = blocks.select(*keys, "_block", "_base", F.least(F.lit(0.0), F.min(F.col("_base") + F.col("_min")).over(before)).alias("_low"))
-    out = inside.withColumn("_own", F.min("_s").over(w)).join(blocks, [*keys, "_block"])
+    out = inside.withColumn("_own", F.min("_s").over(w)).transform(relational.matched, blocks, *keys, "_block")
     total = F.col("_base") + F.col("_s")
     return out.withColumn("cusum", total - F.least(F.col("_low"), F.col("_base") + F.col("_own"))).select(*rows.columns, "cusum")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, order: str, defaults: di
     return out.fillna(defaults) if defaults else out
 
 
+def matched(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join on keys that are equal or both null."""
+    other = right.select(*[F.col(k).alias(f"_{k}_") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys])).drop(*[f"_{k}_" for k in keys])
+
+
 def overlaps(regions: DataFrame, bands: DataFrame, top: int = 3) -> DataFrame:
     """Interval join of regions (region, lo, hi) with a small band table (band, b_lo, b_hi).
 

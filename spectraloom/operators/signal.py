@@ -203,8 +203,19 @@ def savgol_matrix(n: int, width: int, degree: int, order: int = 0) -> np.ndarray
 
 
 def savgol(df: DataFrame, values: str, n: int, width: int = 7, degree: int = 2, order: int = 0) -> DataFrame:
-    operator = savgol_matrix(n, width, degree, order).T
-    return map_matrix(df, values, lambda x: x @ operator)
+    """The filter of savgol_matrix(n, …) by its width coefficients and the fits of both ends, whatever the number of variables."""
+    if width > n:
+        raise ValueError("the width must be odd, at most the number of variables and above the degree")
+    own, half = savgol_matrix(width, width, degree, order), width // 2
+
+    def f(x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[:, half : n - half] = sum(own[half, k] * x[:, k : n - width + 1 + k] for k in range(width))
+        out[:, :half] = x[:, :width] @ own[:half].T
+        out[:, n - half :] = x[:, n - width :] @ own[half + 1 :].T
+        return out
+
+    return map_matrix(df, values, f)
 
 
 def emsc(df: DataFrame, values: str, reference: np.ndarray, degree: int = 2) -> DataFrame:

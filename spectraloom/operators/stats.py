@@ -222,16 +222,23 @@ def asca(df: DataFrame, values: str, a: str, b: str) -> dict[str, float]:
     n = np.array([m[0] for m in by.values()], float)
     means = np.array([m[1] for m in by.values()])
     residual = float(sum((m[0] - 1) * np.trace(m[2]) for m in by.values()))
+    found, centred = asca_effects(n, means, names)
+    return {k: v for k, (v, _) in found.items()} | {"ss_residual": residual, "ss_total": float((n[:, None] * centred**2).sum()) + residual}
+
+
+def asca_effects(n: np.ndarray, means: np.ndarray, names: list[tuple[str, str]]) -> tuple[dict[str, tuple[float, np.ndarray]], np.ndarray]:
+    """Sum of squares and fitted cell means of each effect, one after another, and the centred cell means; names: the levels of both factors by cell."""
     centred = means - n @ means / n.sum()
     columns = []
     for at in (0, 1):
         levels = sorted({x[at] for x in names})
         columns.append(np.array([[float(x[at] == k) - float(x[at] == levels[-1]) for k in levels[:-1]] for x in names]))
     columns.append(np.einsum("ij,ik->ijk", columns[0], columns[1]).reshape(len(names), -1))
-    w, design, last, out = np.sqrt(n)[:, None], np.ones((len(names), 1)), 0.0, {}
+    w, design, last, before, out = np.sqrt(n)[:, None], np.ones((len(names), 1)), 0.0, np.zeros_like(centred), {}
     for name, x in zip(("ss_a", "ss_b", "ss_ab"), columns, strict=True):
         design = np.hstack([design, x])
         fitted = design @ np.linalg.lstsq(w * design, w * centred, rcond=None)[0]
         now = float((n[:, None] * fitted**2).sum())
-        out[name], last = max(0.0, now - last), now
-    return out | {"ss_residual": residual, "ss_total": float((n[:, None] * centred**2).sum()) + residual}
+        out[name] = (max(0.0, now - last), fitted - before)
+        last, before = now, fitted
+    return out, centred

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectraloom.operators import clustering, fusion, kernels, models, sampling, search, selection, screening, windows
+from spectraloom.operators import anova, clustering, fusion, kernels, models, sampling, search, selection, screening, windows
 from spectraloom.plans.modelling import folded
 from spectraloom.plans.registry import query, rounded, spectra
 
@@ -133,3 +133,22 @@ def m31_coverage(spark, d):
 def v4_kennard_stone_split(spark, d):
     """A fifth of each class held out."""
     return sampling.split(spectra(spark, d), "vec_id", "spectrum", 0.2, "label").select("vec_id", "label", "held_out")
+
+
+# ---- designed experiments -----------------------------------------------------------------
+
+
+def _designed(spark, d):
+    """Two crossed factors; a shifts the first variables."""
+    a = F.col("vec_id") % 2
+    return spectra(spark, d).withColumns({"a": a, "b": F.floor(F.col("vec_id") / 2) % 5}).withColumn("spectrum", F.transform("spectrum", lambda x, i: F.when(i < 4, x + 0.05 * a).otherwise(x)))
+
+
+@query()
+def m35_asca_permutations(spark, d):
+    return rounded(anova.effects(_designed(spark, d), "vec_id", "spectrum", "a", "b"), "ss")
+
+
+@query()
+def m35_effect_components(spark, d):
+    return rounded(anova.components(_designed(spark, d), "vec_id", "spectrum", "a", "b"), "score", "share", digits=5)

@@ -435,9 +435,10 @@ def v6_halving_search(spark, d):
 
 @query()
 def m33_t11_component_curve(spark, d):
-    curve = screening.component_curve(fusion.sums_by(folded(spark, d), ["spectrum"], "y", F.col("fold")), 10)
-    rows = spark.createDataFrame(curve, "components int, rmse double, q2 double")
-    return rounded(rows.crossJoin(F.broadcast(models.fewest(rows, "components", "q2", 0.02).withColumnRenamed("components", "chosen"))), "rmse", "q2")
+    """OPLS by its orthogonal components, and the fewest of them within 0.02 of the best Q2."""
+    curve = blocks.opls_curve(fusion.sums_by(folded(spark, d), ["spectrum"], "y", F.col("fold")))
+    rows = spark.createDataFrame(curve, "components int, q2 double, r2 double")
+    return rounded(rows.crossJoin(F.broadcast(models.fewest(rows, "components", "q2", 0.02).withColumnRenamed("components", "chosen"))), "q2", "r2")
 
 
 @query()

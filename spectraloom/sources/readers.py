@@ -48,9 +48,12 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None, head
     schema = StructType([StructField(n, StringType()) for n in names])
     if header_row == 1:
         return spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding)
-    skipped = head(encoding)[:header_row]  # up to ten lines, told by their content
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    top = lines.where("start = 0").groupBy("file").agg(F.min("id").alias("first"))  # a row a file; ids rise along a file's first block
+    body = lines.join(F.broadcast(top), "file").where((F.col("start") > 0) | (F.col("id") >= F.col("first") + header_row))
+    body = body.select((F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)).alias("value"))
     parsed = F.from_csv("value", ", ".join(f"`{n}` STRING" for n in names), {"sep": sep})
-    return text(encoding).where(~F.col("value").isin(skipped)).select(parsed.alias("r")).select("r.*")
+    return body.select(parsed.alias("r")).select("r.*")
 
 
 def typed(table: DataFrame) -> DataFrame:
