@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from spectraloom.operators import anova, clustering, fusion, kernels, models, sampling, search, selection, screening, windows
+from spectraloom.operators import anova, clustering, evaluation, fusion, kernels, models, sampling, search, selection, screening, windows
 from spectraloom.plans.modelling import folded
 from spectraloom.plans.registry import query, rounded, spectra
+from spectraloom.sources import saved, shared
 
 #: Distance at which the tree of the spectra is cut.
 CUT = 1.1
@@ -152,3 +155,43 @@ def m35_asca_permutations(spark, d):
 @query()
 def m35_effect_components(spark, d):
     return rounded(anova.components(_designed(spark, d), "vec_id", "spectrum", "a", "b"), "score", "share", digits=5)
+
+
+# ---- one call from training to test, and saved models ---------------------------------------
+
+
+@query()
+def v2_out_of_fold(spark, d):
+    """Held-out class and its share for every row, discriminant PLS in five folds."""
+    out = evaluation.out_of_fold(folded(spark, d), "vec_id", "spectrum", "label", "fold", "pls_da")
+    return out.select("vec_id", "fold", "y", "yhat", F.round(F.element_at("shares", F.col("yhat")), 5).alias("share"))
+
+
+@query()
+def v5_validated(spark, d):
+    """A sixth of the rows held out; Gaussian naive Bayes on the others in five folds, then on the sixth."""
+    df = folded(spark, d).withColumn("held", F.col("vec_id") % 6 == 0)
+    found = evaluation.validated(df, "vec_id", "spectrum", "label", "fold", "held", "naive_bayes")
+    return rounded(found, *[c for c in found.columns if c not in ("stage", "n")], digits=5)
+
+
+@query()
+def k6_s16_saved_model(spark, d):
+    """A PLS model of standardised spectra, saved, loaded and used on fold 0."""
+    df, recipe = folded(spark, d), {"snv": screening.RECIPES["snv"]}
+    train = df.where("fold <> 0")
+    model = models.pls(train.withColumn("spectrum", recipe["snv"](F.col("spectrum"))), "spectrum", ["y"], 6)
+    path = f"{shared.folder(spark)}/model-{uuid.uuid4().hex}"
+    saved.save(spark, saved.Bundle("regression", model, [float(i) for i in range(64)], [True] * 64, [("snv", {})], None, saved.fingerprint(train, "vec_id", "spectrum")), path)
+    out = saved.predicted(df.where("fold = 0"), "spectrum", saved.load(spark, path), recipe)
+    return out.select("vec_id", F.round("yhat", 6).alias("yhat"))
+
+
+@query("SELECT 'kept' AS result, 'current' AS state UNION ALL SELECT 'changed', 'stale' UNION ALL SELECT 'never', 'absent'")
+def k9_stale_results(spark, d):
+    """Fingerprints of the spectra now and as results have used them: the same rows in another order, rows with one value changed, none."""
+    df = spectra(spark, d)
+    now = saved.fingerprint(df, "vec_id", "spectrum")
+    other = saved.fingerprint(df.withColumn("spectrum", F.transform("spectrum", lambda x, i: F.when((i == 3) & (F.col("vec_id") == 7), x + 1e-9).otherwise(x))), "vec_id", "spectrum")
+    states = saved.stale(dict.fromkeys(("kept", "changed", "never"), now), {"kept": saved.fingerprint(df.repartition(5), "vec_id", "spectrum"), "changed": other})
+    return spark.createDataFrame(list(states.items()), "result string, state string")
