@@ -48,8 +48,8 @@ class Bundle:
         for name, more in self.steps:
             x = steps[name](x, **more)
         kept = [i for i, m in enumerate(self.mask) if m]
-        out = df.withColumn(values, x)
-        return out if len(kept) == len(self.mask) else out.withColumn(values, F.transform(F.array(*[F.lit(i) for i in kept]), lambda i: F.get(F.col(values), i)))
+        out = df.withColumn(values, F.explode(F.array(x)))  # worked out before a model's function takes it: Spark 4.1 fails on nested lambdas below one
+        return out if len(kept) == len(self.mask) else out.withColumn(values, F.array(*[F.get(values, F.lit(i)) for i in kept]))
 
 
 def fingerprint(df: DataFrame, *columns: str) -> int:

@@ -51,6 +51,11 @@ def test_saved_models_predict_alike(spark, df, tmp_path):
     assert back(saved.predicted(whole, "v", got)) == back(model.scores(whole, "v").withColumn("yhat", F.col("yhat")[0]))
 
     steps = {"snv": screening.RECIPES["snv"]}
+    model = models.pls(whole.withColumn("v", steps["snv"](F.col("v"))), "v", ["y"], 2)
+    rows = np.array([r.v for r in whole.orderBy("id").collect()])
+    rows = (rows - rows.mean(1, keepdims=True)) / rows.std(1, keepdims=True)
+    found = [y for _, y in back(saved.predicted(whole, "v", saved.Bundle("regression", model, axis, [True] * 4, [("snv", {})]), steps))]
+    assert np.allclose(found, (rows - model.mean) @ model.coef[:, 0] + model.intercept[0])
     cut = whole.withColumn("v", F.slice(steps["snv"](F.col("v")), 2, 3))
     names, machine = kernels.svc(cut, "v", "c", features=64, rounds=8)
     saved.save(spark, saved.Bundle("classification", machine, axis, [False, True, True, True], [("snv", {})], names, saved.fingerprint(whole, "id", "v")), str(tmp_path / "b"))
