@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -36,12 +38,16 @@ def classify(train: DataFrame, test: DataFrame, values: str, label: str, kind: s
     return out.select(*test.columns, F.element_at(names, F.col("prediction").cast("int") + 1).alias("yhat"), F.map_from_arrays(names, vector_to_array("probability")).alias("shares"))
 
 
-def out_of_fold(df: DataFrame, key: str, values: str, label: str, fold: str, kind: str) -> DataFrame:
-    """(key, fold, y, yhat, shares) of every row with a class and a fold, by a model of the other folds."""
+def out_of_fold(df: DataFrame, key: str, values: str, label: str, fold: str, kind: str, enlarge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, fold, y, yhat, shares) of every row with a class and a fold, by a model of the other folds.
+
+    enlarge adds simulated rows to (key, values, y, fold); it is given the other folds alone, so no simulated row comes from a row that is judged.
+    """
     rows = df.where(F.col(label).isNotNull() & F.col(fold).isNotNull() & F.col(values).isNotNull()).select(key, values, F.col(label).cast("string").alias("y"), F.col(fold).alias("fold"))
     out = None
     for (name,) in sorted(tuple(r) for r in rows.select("fold").distinct().collect()):
-        part = classify(rows.where(F.col("fold") != F.lit(name)), rows.where(F.col("fold") == F.lit(name)), values, "y", kind).drop(values)
+        train = rows.where(F.col("fold") != F.lit(name))
+        part = classify(enlarge(train) if enlarge else train, rows.where(F.col("fold") == F.lit(name)), values, "y", kind).drop(values)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else rows.drop(values).withColumns({"yhat": F.lit(None).cast("string"), "shares": F.lit(None).cast("map<string,double>")})
 
@@ -54,12 +60,13 @@ def judged(rows: DataFrame) -> DataFrame:
     return models.overall(rows).crossJoin(F.broadcast(by)).crossJoin(F.broadcast(area))  # one row each
 
 
-def validated(df: DataFrame, key: str, values: str, label: str, fold: str, held_out: str, kind: str) -> DataFrame:
-    """judged() by stage: "cv", out-of-fold predictions of the rows that are not held out, and "test", the held-out rows by a model of all others."""
+def validated(df: DataFrame, key: str, values: str, label: str, fold: str, held_out: str, kind: str, enlarge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """judged() by stage: "cv", out-of-fold predictions of the rows that are not held out, and "test", the held-out rows by a model of all others. enlarge: see out_of_fold()."""
     rows = df.where(F.col(label).isNotNull() & F.col(values).isNotNull())
     train, test = rows.where(~F.col(held_out)), rows.where(F.col(held_out))
-    out = judged(out_of_fold(train, key, values, label, fold, kind)).withColumn("stage", F.lit("cv"))
+    out = judged(out_of_fold(train, key, values, label, fold, kind, enlarge)).withColumn("stage", F.lit("cv"))
     if test.isEmpty():
         return out
-    final = classify(train, test, values, label, kind).select(F.col(label).cast("string").alias("y"), "yhat", "shares")
+    made = enlarge(train.select(key, values, F.col(label).cast("string").alias("y"), F.col(fold).alias("fold"))).withColumnRenamed("y", label) if enlarge else train
+    final = classify(made, test, values, label, kind).select(F.col(label).cast("string").alias("y"), "yhat", "shares")
     return out.unionByName(judged(final).withColumn("stage", F.lit("test")))

@@ -167,11 +167,11 @@ def simca(df: DataFrame, values: str, label: str, variance: float = 0.9) -> dict
     return out
 
 
-def simca_assign(df: DataFrame, values: str, key: str, models: dict[str, PCA], alpha: float = 0.05) -> DataFrame:
-    """(key, class, t2, q, inside) of every sample in every class model; class models are a handful of matrices."""
+def simca_assign(df: DataFrame, values: str, key: str, models: dict[str, PCA], alpha: float = 0.05, limits: dict | None = None) -> DataFrame:
+    """(key, class, t2, q, inside) of every sample in every class model; class models are a handful of matrices. limits: of q by class, in place of the theoretical ones."""
     out = None
     for name, m in models.items():
-        part = m.scored(df.select(key, values), values).select(key, F.lit(name).alias("class"), "t2", "q", ((F.col("t2") <= m.t2_limit(alpha)) & (F.col("q") <= m.q_limit(alpha))).alias("inside"))
+        part = m.scored(df.select(key, values), values).select(key, F.lit(name).alias("class"), "t2", "q", ((F.col("t2") <= m.t2_limit(alpha)) & (F.col("q") <= (limits[name] if limits else m.q_limit(alpha)))).alias("inside"))
         out = part if out is None else out.unionAll(part)
     return out
 

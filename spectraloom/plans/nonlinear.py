@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spectraloom.operators import anova, clustering, evaluation, fusion, kernels, models, sampling, search, selection, screening, windows
+from spectraloom.operators import anova, blocks, clustering, evaluation, fusion, kernels, models, sampling, search, selection, screening, windows
 from spectraloom.plans.modelling import folded
 from spectraloom.plans.registry import query, rounded, spectra
 from spectraloom.sources import saved, shared
@@ -175,6 +175,17 @@ def v5_validated(spark, d):
     return rounded(found, *[c for c in found.columns if c not in ("stage", "n")], digits=5)
 
 
+@query()
+def m44_augmented_folds(spark, d):
+    """Two simulated rows for each one of the training folds: discriminant PLS with and without them."""
+    df = folded(spark, d)
+    out = None
+    for name, more in (("plain", None), ("augmented", lambda t: blocks.augment(t, "vec_id", "spectrum", 2))):
+        part = models.overall(evaluation.out_of_fold(df, "vec_id", "spectrum", "label", "fold", "pls_da", more)).withColumn("training", F.lit(name))
+        out = part if out is None else out.unionAll(part)
+    return rounded(out, *[c for c in out.columns if c not in ("training", "n")], digits=5)
+
+
 @query()
 def k6_s16_saved_model(spark, d):
     """A PLS model of standardised spectra, saved, loaded and used on fold 0."""

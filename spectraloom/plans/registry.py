@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import arrays
-from spectraloom.operators import charts, models, relational, signal, stats
+from spectraloom.operators import charts, models, relational, signal, simca, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -459,7 +459,9 @@ def m1_pca_t2_q(spark, d):
 @query()
 def m12_simca(spark, d):
     df = spectra(spark, d)
-    return stats.simca_label(stats.simca_assign(df, "spectrum", "vec_id", stats.simca(df, "spectrum", "label")), "vec_id").select("vec_id", "label")
+    classes = stats.simca(df, "spectrum", "label")
+    assigned = stats.simca_assign(df, "spectrum", "vec_id", classes, limits=simca.limits(df, "vec_id", "spectrum", "label", classes))
+    return stats.simca_label(assigned, "vec_id").select("vec_id", "label")
 
 
 @query()

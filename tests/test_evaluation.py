@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectraloom.operators import blocks, domain, evaluation, kernels, models, screening, stats
+from spectraloom.operators import blocks, domain, evaluation, kernels, models, screening, simca, stats
 from spectraloom.sources import saved
 
 
@@ -76,3 +76,38 @@ def test_saved_models_predict_alike(spark, df, tmp_path):
     spark.read.parquet(str(tmp_path / "a")).where("not place like 'axis%'").write.parquet(str(tmp_path / "part"))
     with pytest.raises(ValueError, match="axis"):
         saved.load(spark, str(tmp_path / "part"))
+
+
+def test_simulated_rows_stay_out_of_their_own_fold(df):
+    seen = []
+
+    def enlarge(train):
+        seen.append({(r.id, r.fold) for r in train.collect()})
+        return blocks.augment(train, "id", "v", 2)
+
+    rows = evaluation.out_of_fold(df, "id", "v", "c", "fold", "lda", enlarge).collect()
+    for fold, train in enumerate(seen):
+        assert fold not in {f for _, f in train} and not {i for i, _ in train} & {r.id for r in rows if r.fold == fold}
+    assert len(rows) == 120 and len(seen) == 4
+    assert {r.stage: r.n for r in evaluation.validated(df, "id", "v", "c", "fold", "held", "lda", enlarge).collect()} == {"cv": 108, "test": 12}
+    assert all(i % 10 for i, _ in seen[-1])  # the final model has not seen the held-out rows either
+
+
+def test_simca_limits_come_from_refitting(spark, df):
+    rows = df.where("c is not null and v is not null")
+    classes = stats.simca(rows, "v", "c")
+    got = {(r["class"], r.key): (r.fold, r.q) for r in simca.held_out_residuals(df, "id", "v", "c", classes, 4).collect()}
+    data = [(r.c, r.id, np.array(r.v)) for r in rows.collect()]
+    assert set(got) == {(c, i) for c, i, _ in data}
+    for c, i, v in data:
+        others = np.array([w for d, j, w in data if d == c and got[c, j][0] != got[c, i][0]])
+        loads = np.linalg.svd(others - others.mean(0))[2][: len(classes[c].eigenvalues)].T
+        e = v - others.mean(0)
+        assert got[c, i][1] == pytest.approx(((e - loads @ (loads.T @ e)) ** 2).sum(), abs=1e-9)
+    found = simca.limits(df, "id", "v", "c", classes, 0.05, 4)
+    for c, m in classes.items():
+        q = [x for (d, _), (_, x) in got.items() if d == c]
+        high, theory = np.quantile(q, 0.95), m.q_limit(0.05)
+        assert found[c] == pytest.approx(max(theory, high) if np.isfinite(theory) and theory >= np.quantile(q, 0.05) else high)
+    tiny = df.where("c = 'k1' and v is not null").limit(4)
+    assert simca.held_out_residuals(tiny, "id", "v", "c", stats.simca(tiny, "v", "c"), 2).count() == 4
