@@ -29,9 +29,9 @@ WIDEST = 3
 #: Share of the documents that propose, and how often a proposal occurs in them.
 SAMPLE, PROPOSED = 0.05, 2
 #: Bits (a power of two's exponent) of the bitmaps of words and of pairs.
-WORD_BITS, PAIR_BITS = 26, 27
+WORD_BITS, PAIR_BITS = 25, 26
 #: Bytes of text counted at a time; tokens that share one numbering (three numbers fit 63 bits).
-BLOCK, SEGMENT = 1 << 22, 1 << 20
+BLOCK, SEGMENT = 1 << 21, 1 << 20
 #: A phrase part is hot if it makes up more than this share of all words: at most 4,096 words and as many pairs.
 HOT = 4096
 UNKNOWN = "und"
@@ -113,6 +113,13 @@ def _count(found: list[bytes], lang: str, now: Proposals, before: Proposals | No
         yield 0, pa.array([b""]), np.array([total])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about 4 BLOCK bytes of text."""
+    sizes = pc.binary_length(batch.column(1)).to_pylist()
+    for rows in blocks(range(batch.num_rows), sizes.__getitem__, 4 * BLOCK):
+        yield batch.slice(rows[0], len(rows))
+
+
 def _pass(docs: DataFrame, now: Proposals, before: Proposals | None, widest: int = WIDEST) -> DataFrame:
     """Partial counts: rows of size 0 count all words of a language, the others a phrase."""
     shared = docs.sparkSession.sparkContext.broadcast((now, before))
@@ -120,7 +127,7 @@ def _pass(docs: DataFrame, now: Proposals, before: Proposals | None, widest: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = shared.value
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch)):
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 texts.setdefault(lang, []).append(text.as_py())
