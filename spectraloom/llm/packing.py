@@ -13,11 +13,14 @@ capacity * (BASE**2 + BASE * POWERS) steps, and small corpora go piece by piece.
 
 from __future__ import annotations
 
+import json
 import re
+import string
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ END_ID = 1
 BASE = 16
 #: Powers of BASE that a count of pieces may need.
 POWERS = 14
+#: Above any difference of counts.
+NEVER = 1 << 62
 #: Chunks a worker remembers in each of two generations, and the longest it does (bytes).
 MEMO, LONGEST = 1 << 19, 48
 #: Bytes of new chunks that the library encodes at a time.
@@ -41,90 +46,127 @@ NEW_BYTES = 1 << 18
 #: Bytes of text that are encoded together.
 BLOCK = 1 << 23
 
-_PLAIN = re.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_MARKS = b".,;:!?"
+#: Letters whose lower case is one letter and that no normalisation changes (RE2).
+_PLAIN = r"^[a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$"
+#: The steps before the model that the short way for words stands for.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _byte_level() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary; a space stays one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u4")
+    out[np.setdiff1d(np.arange(256), shown)] = 256 + np.arange(256 - len(shown))
+    out[shown] = shown
+    out[32] = 32
+    return out
+
+
+_SHOWN = _byte_level()
+
+
+def _listed(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 class Ids:
     """Ids by the tokenizers library, with the ids of whitespace-free chunks remembered.
 
     No pre-token crosses white space and no normalisation does, so the ids of a text are those of its chunks one after
-    another. A chunk of letters alone is one word, and a word's last token is known by the
-    vocabulary's end-of-word suffix: such chunks go to the library in one call.
+    another. Punctuation that ends a chunk of letters is one pre-token: letters and punctuation are looked up apart. New
+    letters are lower-cased and shown byte by byte here, and go to the library's model as words of one call; a word's last token
+    is known by the vocabulary's end-of-word suffix. Other chunks, and all of a vocabulary with other steps before its model, go to the library as they are.
     """
 
     def __init__(self, source: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
-        vocab = self.library.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        if suffix:
+        stated = json.loads(source)
+        self.words = None
+        # an added token with punctuation before a letter or digit is in no chunk of letters and then punctuation
+        if suffix and all(stated.get(k) == v for k, v in _STEPS.items()) and all(re.search(r"[^\w\s]\w", t["content"]) for t in stated.get("added_tokens", ())):
+            self.words = Tokenizer(self.library.model)
+            self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            vocab = self.library.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.words_end = bool(suffix)
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.mark = {m: self._alone([bytes([m])])[0] for m in _MARKS}
 
     def _alone(self, chunks: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _words(self, chunks: list[bytes]) -> list[bytes]:
-        ids = np.array(self.library.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        shown = _SHOWN[np.frombuffer(b" ".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
         cut = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
-        assert len(cut) == len(chunks) + 1
+        assert len(cut) == len(words) + 1
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks; a letter chunk that a single mark ends is worked out without it."""
-        words, others, marked = set(), [], []
-        for c in new:
-            bare = c[:-1] if c[-1] in _MARKS else c
-            if self.words_end and bare and _PLAIN.fullmatch(bare.decode()):
-                if bare is not c:
-                    marked.append(c)
-                if bare not in self.memo and bare not in self.old:
-                    words.add(bare)
-            else:
-                others.append(c)
-        found: dict[bytes, bytes] = {b"": b""}
-        for work, chunks in ((self._words, list(words)), (self._alone, others)):
+        plain = self._plain(pa.array(new, pa.binary()).cast(pa.string())).to_numpy(zero_copy_only=False)
+        found: dict[bytes, bytes] = {}
+        for work, chunks in ((self._words, compress(new, plain)), (self._alone, compress(new, ~plain))):
             for part in blocks(chunks, len, NEW_BYTES):
                 found.update(zip(part, work(part), strict=True))
-        for c in marked:
-            bare = c[:-1]
-            found[c] = (found.get(bare) or self.memo.get(bare) or self.old[bare]) + self.mark[c[-1]]
         return found
 
-    def _of(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of distinct chunks. Letters of ASCII chunks are lower-cased as the library would, unless a special token may be meant."""
-        plain = [c.lower() if c.isascii() and b"<|" not in c else c for c in chunks]
-        young, old, found = self.memo, self.old, {}
-        for c in plain:
-            ids = young.get(c)
-            if ids is None and (ids := old.get(c)) is not None:
-                young[c] = ids
-            found[c] = ids
-        fresh = self._learn([c for c, ids in found.items() if ids is None and c])
-        found |= fresh
-        young.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
-        if len(young) > MEMO:
-            self.memo, self.old = {}, young
-        return [found[c] for c in plain]
+    def _plain(self, chunks: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(chunks, _PLAIN) if self.words else pa.repeat(False, len(chunks))
+
+    def _known(self, keys: pa.Array) -> list[bytes]:
+        """Ids of keys, each distinct one looked up once."""
+        coded = keys.dictionary_encode()
+        names = _listed(coded.dictionary)
+        young = self.memo
+        ids = list(map(young.get, names))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            found = {c: x for c in (names[i] for i in missing) if (x := self.old.get(c)) is not None}
+            found |= self._learn([c for i in missing if (c := names[i]) not in found])
+            for i in missing:
+                ids[i] = found[names[i]]
+            young.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
+            if len(young) > MEMO:
+                self.memo, self.old = {}, young
+        return list(map(ids.__getitem__, coded.indices.to_numpy().tolist()))
+
+    def _of(self, chunks: pa.Array) -> list[bytes]:
+        """Ids of distinct chunks."""
+        bare = pc.ascii_rtrim(chunks, characters=string.punctuation)
+        plain = self._plain(bare)
+        ids = self._known(pc.if_else(plain, pc.utf8_lower(bare), chunks))
+        ended = pc.and_(plain, pc.greater(pc.binary_length(chunks), pc.binary_length(bare)))
+        at = np.flatnonzero(ended.to_numpy(zero_copy_only=False)).tolist()
+        sizes = pc.binary_length(bare.filter(ended)).to_numpy().tolist()
+        tails = [c[n:] for c, n in zip(_listed(chunks.filter(ended)), sizes, strict=True)]
+        for i, tail in zip(at, self._known(pa.array(tails, pa.binary()).cast(pa.string())), strict=True):
+            ids[i] += tail
+        return ids
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; texts are strings without nulls."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        held = self._of(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        held = self._of(coded.dictionary.cast(pa.string()))
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         ids, code = np.frombuffer(b"".join(held), "<u4"), coded.indices.to_numpy()
         count = size[code]
@@ -185,7 +227,9 @@ def _steps(counts: dict[int, int], capacity: int, order: str, opens: bool) -> tu
     no open sequence has room.
     """
     open_by_gap: list[list] = [[] for _ in range(capacity + 1)]
-    many = np.zeros(capacity + 1, np.int64)
+    many = [0] * (capacity + 1)
+    # the same counts by the gap that a piece leaves and by the gap that it takes, which none takes without open sequences
+    to, off, change = np.zeros(capacity + 1, np.int64), np.full(capacity + 1, -NEVER), np.empty(capacity, np.int64)
     steps, used = array("q"), 0
     for power in reversed(range(POWERS)):
         unit = BASE**power
@@ -197,12 +241,12 @@ def _steps(counts: dict[int, int], capacity: int, order: str, opens: bool) -> tu
         for s, i in items:
             gap, fresh = capacity, True
             if s < capacity:
-                # by the change of the sum, divided by 2 * unit
-                change = np.where(many[s:capacity] > 0, many[: capacity - s] - many[s:capacity] + unit, np.iinfo(np.int64).max)
+                # by the change of the sum, divided by 2 * unit, less `unit`
+                found = np.subtract(to[: capacity - s], off[s:capacity], out=change[: capacity - s])
                 if many[s]:
-                    change[0] = -many[s] + unit // 2
-                at = int(change.argmin())
-                if many[s + at] and not (opens and many[capacity - s] + unit // 2 < change[at]):
+                    found[0] = unit // 2 - unit - many[s]
+                at = int(found.argmin())
+                if many[s + at] and not (opens and many[capacity - s] + unit // 2 - unit < found[at]):
                     gap, fresh = s + at, False
             if fresh:
                 first, used = used, used + unit
@@ -212,11 +256,14 @@ def _steps(counts: dict[int, int], capacity: int, order: str, opens: bool) -> tu
                 group[0] += unit
                 group[1] -= unit
                 many[gap] -= unit
+                to[gap] = many[gap]
+                off[gap] = many[gap] or -NEVER
                 if not group[1]:
                     open_by_gap[gap].pop()
             if gap > s:
                 open_by_gap[gap - s].append([first, unit])
                 many[gap - s] += unit
+                to[gap - s] = off[gap - s] = many[gap - s]
             steps.extend((s, power, i, first, capacity - gap))
     return np.array(steps, np.int64).reshape(-1, len(STEP)), used
 

@@ -1,5 +1,6 @@
 """Phrases, whitening and packing against plain whole-table versions, on the small tables and on hand-made rows."""
 
+import json
 import random
 import re
 import zlib
@@ -188,6 +189,34 @@ def test_op13_ids_are_the_library_s(library):
     assert max(map(len, own.memo)) <= packing.LONGEST
 
 
+def test_op13_letters_are_learnt_without_their_punctuation(library):
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        own = packing.Ids(f.read())
+    words, ends = ["abcd", "Straße", "ÀÞªµ", "it"], [",", "###", "...", "'", "_\"", "<|", "|>"]
+    texts = [" ".join(w + e for w in words for e in ["", *ends]), " ".join(w.swapcase() + e for w in words[:1] for e in ends), "it's, don't''s 'sit 's"]
+    got = own.encode(packing.pa.array(texts, packing.pa.string()))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {k.decode() for k in own.memo} == {w.lower() for w in words} | set(ends) | {"it's,", "don't''s", "'sit", "'s"}
+
+
+@pytest.mark.parametrize("change", ["cased", "unstated", "letters", "ending"])
+def test_op13_other_vocabularies_go_to_the_library_whole(change):
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        stated = json.load(f)
+    if change == "cased":
+        stated["normalizer"] = None
+    elif change == "unstated":
+        del stated["normalizer"]
+    else:
+        stated["added_tokens"].append(stated["added_tokens"][-1] | {"id": 49408, "content": {"letters": "cd", "ending": "d."}[change]})
+    own, plain = packing.Ids(json.dumps(stated)), Tokenizer.from_str(json.dumps(stated))
+    texts = ["abcd. ABCD, Abcd.. É", "cd d. CD D.", ""]
+    got = own.encode(packing.pa.array(texts, packing.pa.string()))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps, used = Counter(), 0
     for s in sorted(lengths, reverse=True):
