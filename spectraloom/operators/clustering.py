@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from spectraloom.operators import catalogue
 from spectraloom.sources.shared import dropped, written
 
-#: Rows of a block; a cell compares two of them.
-BLOCK = 1024
+#: Rows of a block; a cell compares two of them. Cells that make a tree, row by row, have smaller ones.
+BLOCK, TREE_BLOCK = 32768, 1024
 #: Points that Lance and Williams' recurrence is run on.
 PROTOTYPES = 500
 #: Rows up to which a linkage table (a sequential reading of n - 1 edges) is made.
@@ -36,7 +36,7 @@ EDGES = "a long, b long, distance double"
 def _dealt(df: DataFrame, key: str, values: str) -> DataFrame:
     """(block, ids, points): the rows of a block, dealt by a hash of the key; points are laid end to end."""
     rows = df.where(F.col(key).isNotNull() & F.col(values).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(values, lambda x: x.cast("double")).alias("x"))
-    n = max(1, -(-rows.count() // BLOCK))
+    n = max(1, -(-rows.count() // min(BLOCK, TREE_BLOCK)))
     held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("rows"))
     return held.select("block", F.col("rows.id").alias("ids"), F.flatten("rows.x").alias("points"))
 

@@ -21,7 +21,7 @@ from spectraloom.sources.shared import written
 #: Bytes of a block's points as doubles; blocks that a small part is dealt into, and the rows that make it worth a second one.
 BYTES, LEAST_BLOCKS, SMALL = 1 << 24, 6, 2048
 #: Rows of a tile, of either side; pairs that are worked out at once.
-TILE, WIDE, AT_ONCE = 256, 4096, 1 << 16
+TILE, WIDE, AT_ONCE = 256, 1024, 1 << 16
 
 
 def finite(values: str) -> Column:

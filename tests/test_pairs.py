@@ -63,3 +63,20 @@ def test_bounds_hold(high):
         d = np.sqrt((((x * scale)[:, None] / scale - (y * scale)[None] / scale) ** 2).sum(2)) * scale
         tile = b.tile(slice(None), slice(None))
         assert (tile >= b.limit(d, up=False)).all() if high else (tile <= b.limit(d, up=True)).all()
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    rng = np.random.default_rng(33)
+    x, y = rng.normal(size=(600, 64)), rng.normal(size=600) ** 3
+    return x, y, table(spark, x, y=y).cache()
+
+
+def test_joint_choice_shuffles_no_pairs(spark, wide, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK", 30)
+    monkeypatch.setattr(pairs, "TILE", 8)
+    x, y, df = wide
+    got, _, shuffled = jobs_of(spark, "joint", lambda: sampling.farthest(df, "id", "v", 20, "y").orderBy("place").collect())
+    dx, dy = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.abs(y[:, None] - y[None])
+    assert [r.id for r in got] == greedy(dx / dx.max() + dy / dy.max(), 20)
+    assert shuffled < 10 * x.nbytes  # each row to its 20 partners would be 40 times and more
