@@ -3,7 +3,7 @@
 Single linkage is the minimum spanning tree. Rows are dealt into blocks; every pair of blocks meets in one
 cell, which hands on the minimum spanning forest of its own edges alone (an edge that is none of a cell's
 forest is in no spanning tree that needs it), so n rows give about n edges a block instead of n a row. Borůvka's rounds
-then join components over those edges.
+then join components over those edges. Cut at a distance it needs no tree: components of rows that near to each other are joined.
 
 Ward, average and complete linkage work on at most PROTOTYPES weighted points: the rows themselves if there
 are no more, else k-means centres with the number of their rows.
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.operators import catalogue
+from spectraloom.operators import catalogue, pairs
 from spectraloom.sources.shared import dropped, written
 
 #: Rows of a block; a cell compares two of them. Cells that make a tree, row by row, have smaller ones.
@@ -147,10 +147,85 @@ def spanning_tree(df: DataFrame, key: str, values: str) -> DataFrame:
     return forest(nodes, candidate_edges(df, key, values))[0]
 
 
+def _joined(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (the least place of each component) after joining places a to places b."""
+    while True:
+        a, b = roots[a], roots[b]
+        apart = a != b
+        if not apart.any():
+            return roots
+        a, b = a[apart], b[apart]
+        roots = roots.copy()
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+
+
+def _within(x: np.ndarray, y: np.ndarray | None, roots: np.ndarray, distance: float) -> np.ndarray:
+    """Roots after joining rows of x (to each other, or to those of y, which are numbered after them) at most `distance` apart.
+
+    Pairs of a row and of a column that are both of the commonest component are left out, since they join nothing.
+    """
+    same = y is None
+    y, shift = (x, 0) if same else (y, len(x))
+    low, high = pairs.Bounds(x, y), pairs.Bounds(x, y, high=True)
+    fine = None
+    for i in range(0, len(x), pairs.TILE):
+        rows = np.arange(i, min(i + pairs.TILE, len(x)))
+        columns = np.arange(i if same else 0, len(y))
+        common = np.bincount(roots[columns + shift]).argmax()
+        inside, other = roots[rows] == common, roots[columns + shift] != common
+        for own, to in ((rows[~inside], columns), (rows[inside], columns[other])):
+            for j in range(0, len(to) if len(own) else 0, pairs.WIDE):
+                at = to[j : j + pairs.WIDE]
+                k = np.flatnonzero(low.tile(own, at) <= low.limit(distance, up=True))
+                if not len(k):
+                    continue
+                a, b = own[k // len(at)], at[k % len(at)]
+                new = roots[a] != roots[b + shift]
+                a, b = a[new], b[new]
+                sure = np.einsum("ij,ij->i", high.a[a], high.b[b]) <= high.limit(distance, up=False)
+                roots = _joined(roots, a[sure], b[sure] + shift)
+                a, b = a[~sure], b[~sure]
+                open_ = roots[a] != roots[b + shift]
+                a, b = a[open_], b[open_]
+                if len(a) > pairs.TILE:  # what single precision can't settle, double may
+                    fine = fine or pairs.Bounds(x, y, kind=np.float64)
+                    near = np.einsum("ij,ij->i", fine.a[a], fine.b[b]) <= fine.limit(distance, up=True)
+                    a, b = a[near], b[near]
+                near = pairs.of_pairs(x, y, a, b) <= distance
+                roots = _joined(roots, a[near], b[near] + shift)
+    return roots
+
+
 def single_linkage(df: DataFrame, key: str, values: str, distance: float) -> DataFrame:
-    """(key, cluster): single linkage cut at a distance, that is, rows joined by steps of at most `distance`; a cluster is named by its smallest key."""
-    nodes = df.where(F.col(key).isNotNull() & F.col(values).isNotNull()).select(F.col(key).cast("long").alias("id"))
-    return forest(nodes, candidate_edges(df, key, values).where(F.col("distance") <= distance))[1].select(F.col("id").alias(key), F.col("component").alias("cluster"))
+    """(key, cluster): single linkage cut at a distance, that is, rows joined by steps of at most `distance`; a cluster is named by its smallest key.
+
+    Rows are joined within their blocks first; a cell of two blocks then hands on the joins of their components, and Borůvka's rounds join those.
+    Rows with a value that is not finite are clusters of their own.
+    """
+    there = df.where(F.col(key).isNotNull() & F.col(values).isNotNull())
+    rows = there.where(pairs.finite(values)).select(F.lit(0).alias("part"), F.col(key).cast("long").alias("id"), F.transform(values, lambda x: x.cast("double")).alias("x"))
+    blocks = pairs.blocks(rows, BLOCK, extra=("root int", lambda x: _within(x, None, np.arange(len(x)), distance).astype(np.int32)))
+
+    def cell(part: int, one: tuple, other: tuple, same: bool) -> Iterator[list]:
+        (ids, x, own), (more, y, theirs) = one, other
+        names, before = np.concatenate([ids, more]), np.concatenate([own.to_numpy(), theirs.to_numpy() + len(ids)]).astype(np.int64)
+        after = _within(x, y, before, distance)
+        found = np.flatnonzero((before == np.arange(len(before))) & (after != before))  # roots that got another one
+        if len(found):
+            ends = np.sort(np.stack([names[after[found]], names[found]]), axis=0)
+            yield [ends[0], ends[1], np.zeros(len(found))]
+
+    links = written(pairs.cells(blocks, blocks, lambda a, b: a < b, cell, EDGES, ("root",)), "links")
+    held = written(blocks.select(F.explode(F.arrays_zip("ids", F.transform("root", lambda r: F.get("ids", r)).alias("root"))).alias("e")).select(F.col("e.ids").alias("id"), F.col("e.root").alias("root")), "roots")
+    dropped(blocks)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = forest(ends, links)[1].withColumnRenamed("id", "root")
+    dropped(links)
+    out = held.join(named, "root", "left").select(F.col("id").alias(key), F.coalesce("component", "root").alias("cluster"))
+    alone = there.where(~pairs.finite(values)).select(F.col(key).cast("long").alias(key), F.col(key).cast("long").alias("cluster"))
+    return out.unionAll(alone)
 
 
 class _Sets:

@@ -80,3 +80,31 @@ def test_joint_choice_shuffles_no_pairs(spark, wide, monkeypatch):
     dx, dy = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.abs(y[:, None] - y[None])
     assert [r.id for r in got] == greedy(dx / dx.max() + dy / dy.max(), 20)
     assert shuffled < 10 * x.nbytes  # each row to its 20 partners would be 40 times and more
+
+
+def components(near):
+    name = np.arange(len(near))
+    while not np.array_equal(name, least := np.where(near, name[None], len(near)).min(1)):
+        name = least
+    return dict(enumerate(name.tolist()))
+
+
+@pytest.mark.parametrize("cut", [9.0, 9.6, 30.0])
+def test_cut_linkage_shuffles_no_pairs(spark, wide, monkeypatch, cut):
+    monkeypatch.setattr(clustering, "BLOCK", 30)
+    x, _, df = wide
+    got, _, shuffled = jobs_of(spark, f"cut {cut}", lambda: clustering.single_linkage(df, "id", "v", cut).collect())
+    assert {r.id: r.cluster for r in got} == components(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= cut)
+    assert shuffled < 10 * x.nbytes
+
+
+def test_cut_on_ties_and_far_from_zero(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK", 40)
+    rng = np.random.default_rng(34)
+    grid = rng.integers(0, 12, size=(200, 2)).astype(float)
+    offset = np.where(np.arange(200)[:, None] % 2, 0.0, 1e6)  # single precision can't tell steps of 1 from none
+    for x in (grid, grid + offset):
+        got = {r.id: r.cluster for r in clustering.single_linkage(table(spark, x), "id", "v", 1.0).collect()}
+        assert got == components(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 1.0)
+    x = np.array([[0.0], [np.nan], [0.5]])
+    assert {r.id: r.cluster for r in clustering.single_linkage(table(spark, x), "id", "v", 1.0).collect()} == {0: 0, 1: 1, 2: 0}
