@@ -6,12 +6,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import special
+from spectraloom.operators import pairs
 from spectraloom.operators.relational import cumulative, quantiles
 from spectraloom.operators.stats import moments, moments_by
+from spectraloom.sources.shared import dropped, written
 
 
 def folds(df: DataFrame, key: str, k: int, label: str | None = None, seed: int = 0) -> DataFrame:
@@ -80,51 +83,63 @@ def classify(df: DataFrame, values: str, names: list, model: Linear) -> DataFram
     return out.withColumn("yhat", F.element_at(F.array(*[F.lit(n) for n in names]), at))
 
 
-#: Query rows that one pass over the training rows is held against.
-QUERY_BLOCK = 4096
+#: Query rows of a block; TRAIN_BLOCK training rows meet it in a cell.
+QUERY_BLOCK, TRAIN_BLOCK = 16384, 32768
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, more: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, squared distance) of the k rows y[j] nearest to each x[i], the first on ties, without those of its own key."""
+    low, own = pairs.Bounds(x, y), len(np.intersect1d(ids, more)) > 0
+    d, at = np.full((len(x), k), np.inf), np.full((len(x), k), -1)
+    squared = lambda a, b: np.concatenate([np.zeros(0), *(((x[a[i : i + pairs.AT_ONCE]] - y[b[i : i + pairs.AT_ONCE]]) ** 2).sum(1) for i in range(0, len(a), pairs.AT_ONCE))])
+    for i in range(0, len(x), pairs.TILE):
+        rows = np.arange(i, min(i + pairs.TILE, len(x)))
+        for j in range(0, len(y), pairs.WIDE):
+            columns = np.arange(j, min(j + pairs.WIDE, len(y)))
+            tile, worst = low.tile(slice(rows[0], rows[-1] + 1), slice(j, columns[-1] + 1)), d[rows, -1]
+            if own:
+                tile[ids[rows][:, None] == more[columns][None]] = np.inf
+            if j == 0 and len(columns) > k:  # k distances that surely are reached
+                first = np.argpartition(tile, k - 1, axis=1)[:, :k]
+                reached = np.where(np.isfinite(np.take_along_axis(tile, first, 1)), squared(np.repeat(rows, k), first.ravel()).reshape(-1, k), np.inf)
+                worst = reached.max(1)
+            found = np.flatnonzero((tile <= low.limit(np.sqrt(worst), up=True)[:, None]) & (tile < np.inf)) if own else np.flatnonzero(tile <= low.limit(np.sqrt(worst), up=True)[:, None])
+            if not len(found):
+                continue
+            a, b = rows[found // len(columns)], columns[found % len(columns)]
+            some = np.unique(a)
+            of, far, to = np.concatenate([np.repeat(some, k), a]), np.concatenate([d[some].ravel(), squared(a, b)]), np.concatenate([at[some].ravel(), b])
+            order = np.lexsort((to, far, of))
+            starts = np.searchsorted(of[order], some)
+            kept = order[(starts[:, None] + np.arange(k)).ravel()]
+            d[some], at[some] = far[kept].reshape(-1, k), to[kept].reshape(-1, k)
+    a, b = np.nonzero(np.isfinite(d))
+    return a, at[a, b], d[a, b]
 
 
 def knn(queries: DataFrame, train: DataFrame, key: str, label: str, values: str, k: int = 5) -> DataFrame:
     """(key, yhat): majority of the k nearest training rows, the smaller class on ties; a row is no neighbour of its own key.
 
-    Queries are held against all training rows in blocks of QUERY_BLOCK: a block (of that size at most) is broadcast, and each batch of
-    training rows hands on its k nearest for every query of the block, so no pair but these leaves a task.
+    A block of query rows meets each block of training rows in a cell, which hands on the k nearest of its pairs for every query.
+    Rows without a key or with values that are not all finite are left out.
     """
-    names = [r[0] for r in queries.select(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)).alias("h")).groupBy("h").count().orderBy("h").collect()]
-    per = max(1, QUERY_BLOCK // max(1, math.ceil(queries.count() / max(1, len(names)))))
-    kind, near = train.schema[label].dataType.simpleString(), None
-    for at in range(0, len(names), per):
-        block = queries.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)).between(names[at], names[min(len(names), at + per) - 1])).select(key, values).collect()
-        shared = df_broadcast(train, (np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)))
-
-        def run(batches, shared=shared):
-            import pandas as pd
-
-            ids, q = shared.value
-            for b in batches:
-                x = np.stack([np.asarray(v, np.float64) for v in b["v"]]) if len(b) else np.zeros((0, q.shape[1]))
-                if not len(x):
-                    continue
-                d = np.stack([((x - one) ** 2).sum(1) for one in q])
-                d[ids[:, None] == b["t"].to_numpy()[None, :]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(ids)), best.shape[1])
-                out = pd.DataFrame({"q": ids[rows], "t": b["t"].to_numpy()[best.ravel()], "y": b["y"].to_numpy()[best.ravel()], "d": d[rows, best.ravel()]})
-                yield out[np.isfinite(out["d"])]
-
-        found = train.select(F.col(key).alias("t"), F.col(label).alias("y"), F.transform(values, lambda x: x.cast("double")).alias("v")).mapInPandas(run, f"q long, t long, y {kind}, d double")
-        near = found if near is None else near.unionAll(found)
-    if near is None:
-        return queries.select(key, F.lit(None).cast(kind).alias("yhat"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where(F.col("r") <= k)
+    side = lambda df, *more: df.where(F.col(key).isNotNull() & pairs.finite(values)).select(F.lit(0).alias("part"), F.col(key).cast("long").alias("id"), F.transform(values, lambda x: x.cast("double")).alias("x"), *more)
+    asked, known = pairs.blocks(side(queries), QUERY_BLOCK), pairs.blocks(side(train, F.col(label).alias("y")), TRAIN_BLOCK, "y")
+    kind = train.schema[label].dataType.simpleString()
+
+    def cell(part: int, one: tuple, other: tuple, same: bool):
+        (ids, x), (more, y, labels) = one, other
+        i, j, d = _nearest(ids, x, more, y, k)
+        if len(i):
+            yield [ids[i], more[j], labels.take(pa.array(j)), d]
+
+    near = pairs.cells(asked, known, lambda a, b: F.lit(True), cell, f"q long, t long, y {kind}, d double", ("y",))
+    near = written(near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where(F.col("r") <= k), "near")
+    dropped(asked, known)
     votes = near.groupBy("q", "y").agg(F.count("*").alias("n"))
     return votes.groupBy("q").agg(F.min(F.struct(-F.col("n"), "y"))["y"].alias("yhat")).withColumnRenamed("q", key)
 
 
-def df_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
 def pls_da(df: DataFrame, values: str, label: str, k: int) -> tuple[list, Linear]:
     """Discriminant PLS (Barker & Rayens, 2003): PLS of the classes' indicators on autoscaled variables; the largest answer wins."""
     by = moments_by(df, values, label)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from spectraloom.operators import clustering, pairs, sampling
+from spectraloom.operators import clustering, models, pairs, sampling
 
 
 def jobs_of(spark, name, f):
@@ -108,3 +108,21 @@ def test_cut_on_ties_and_far_from_zero(spark, monkeypatch):
         assert got == components(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 1.0)
     x = np.array([[0.0], [np.nan], [0.5]])
     assert {r.id: r.cluster for r in clustering.single_linkage(table(spark, x), "id", "v", 1.0).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_neighbours_shuffle_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(models, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(models, "TRAIN_BLOCK", 150)
+    monkeypatch.setattr(pairs, "WIDE", 16)
+    rng = np.random.default_rng(35)
+    x = np.concatenate([rng.integers(0, 4, size=(300, 3)), rng.normal(size=(300, 3)) + 1e4]).astype(float)  # ties, and rows far from zero
+    c = rng.choice(list("abc"), 600)
+    got, jobs, shuffled = jobs_of(spark, "near", lambda: {r.id: r.yhat for r in models.knn(table(spark, x, c=c), table(spark, x, c=c).repartition(40), "id", "c", "v", 4).collect()})
+    want = {}
+    for i in range(600):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        names, n = np.unique(c[np.argsort(d, kind="stable")[:4]], return_counts=True)
+        want[i] = names[n.argmax()]
+    assert got == want
+    assert shuffled < 250_000  # four neighbours of each query from each of 40 parts and more would be 2 MB
