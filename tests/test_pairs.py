@@ -126,3 +126,11 @@ def test_neighbours_shuffle_few_pairs(spark, monkeypatch):
         want[i] = names[n.argmax()]
     assert got == want
     assert shuffled < 250_000  # four neighbours of each query from each of 40 parts and more would be 2 MB
+
+
+def test_plain_choice_shuffles_no_pairs(spark, wide, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK", 30)
+    x, _, df = wide
+    got, _, shuffled = jobs_of(spark, "plain", lambda: sampling.farthest(df, "id", "v", 20).orderBy("place").collect())
+    assert [r.id for r in got] == greedy(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 20)
+    assert shuffled < 10 * x.nbytes
